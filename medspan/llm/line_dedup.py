@@ -23,75 +23,70 @@ GRAM, WINDOW = 2, 2
 MIN_LINES = GRAM + WINDOW - 1
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(text, "\n")
-
-
-def _trimmed(text: Column) -> Column:
-    return F.filter(F.transform(lines_of(text), lambda x: F.trim(x)), lambda x: x != "")
+def _shifted(items: Column, n: int) -> Column:
+    """Arrays of n neighbours at each place; those past the end are null."""
+    return F.arrays_zip(*[F.slice(items, i + 1, 2**30).alias(f"x{i}") if i else items.alias("x0") for i in range(n)])
 
 
 def windows(docs: DataFrame, key: str, text: str, gram: int, window: int) -> DataFrame:
-    """A row for each window: its document, first line, selected gram, whether that is newly selected, and its content."""
+    """A row for each window: its document, the numbers and places of its lines, the gram it selects, whether the window
+    before it selected another one, and its content. Each array is built once a row, in time linear in the lines."""
     run = gram + window - 1
     t = F.col(text)
-    hashed = docs.select(
+    placed = F.filter(F.transform(F.split(t, "\n"), lambda x, i: F.struct(F.trim(x).alias("line"), i.alias("place"))), lambda x: x["line"] != "")
+    lines = docs.select(
         F.col(key).alias("key"),
         F.xxhash64(t).alias("text_key"),
-        F.transform(_trimmed(t), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("lines"),
+        F.transform(placed, lambda x: F.struct(F.xxhash64(x["line"]).alias("a"), F.xxhash64(F.lit(1), x["line"]).alias("b"), x["place"].alias("place"))).alias("lines"),
     )
-    upto = lambda n, each: F.when(F.size("lines") >= run, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), each))
-    grams = hashed.withColumn("grams", upto(F.size("lines") - gram + 1, lambda i: F.struct(F.xxhash64(F.slice("lines", i, gram)).alias("g"), (-i).alias("back"))))
-    picked = grams.withColumn("picked", upto(F.size("lines") - run + 1, lambda i: F.array_min(F.slice("grams", i, window))))
-    each = picked.select("key", "text_key", "lines", "picked", F.posexplode("picked").alias("line", "pick"))
-    return each.select(
+    all_of = lambda x, n, name: [x[f"x{i}"][name] for i in range(n)]
+    grams = lines.select(
+        "*",
+        F.transform(_shifted(F.col("lines"), gram), lambda x, i: F.struct(F.xxhash64(*all_of(x, gram, "a")).alias("g"), (-i).alias("back"))).alias("grams"),
+        F.transform(_shifted(F.col("lines"), run), lambda x, i: F.struct(F.xxhash64(*all_of(x, run, "a")).alias("a"), F.xxhash64(*all_of(x, run, "b")).alias("b"), i.alias("line"), F.array(*all_of(x, run, "place")).alias("places"))).alias("runs"),
+    )
+    picked = grams.select("*", F.transform(_shifted(F.col("grams"), window), lambda x: F.array_min(F.array(*[x[f"x{i}"] for i in range(window)]))).alias("picks"))
+    zipped = F.arrays_zip(F.col("runs").alias("run"), F.col("picks").alias("pick"), F.concat(F.array(F.lit(None).cast("struct<g:bigint,back:int>")), F.col("picks")).alias("last"))
+    whole = F.slice(zipped, F.lit(1), F.greatest(F.lit(0), F.size("lines") - (run - 1)))
+    return picked.select("key", "text_key", F.explode(whole).alias("w")).select(
         "key",
         "text_key",
-        F.col("line").alias("line"),
-        F.col("pick.g").alias("gram"),
-        F.when((F.col("line") > 0) & (F.get("picked", F.col("line") - 1)["back"] == F.col("pick.back")), 0).otherwise(1).alias("fresh"),
-        F.xxhash64(F.slice(F.col("lines.a"), F.col("line") + 1, run)).alias("a"),
-        F.xxhash64(F.slice(F.col("lines.b"), F.col("line") + 1, run)).alias("b"),
+        F.col("w.run.line").alias("line"),
+        F.col("w.run.places").alias("places"),
+        F.col("w.pick.g").alias("gram"),
+        F.when(F.col("w.last.back") == F.col("w.pick.back"), 0).otherwise(1).alias("fresh"),
+        F.col("w.run.a").alias("a"),
+        F.col("w.run.b").alias("b"),
     )
 
 
 def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """key, text_key, at: the numbers, among a document's non-blank lines, of those to delete."""
+    """key, text_key, at: (number among the non-blank lines, place among all lines) of the lines to delete."""
     every = durable(windows(docs, key, text, gram, window))
     twice = every.groupBy("gram").agg(F.sum("fresh").alias("n")).filter("n > 1").select("gram")
     near = every.join(twice, "gram")
     place = F.struct("key", "text_key", "line")
     first = near.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("a", "b", "first")
     later = near.join(first, ["a", "b"]).filter(place != F.col("first"))
-    run = gram + window - 1
-    return later.groupBy("key", "text_key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("line"), F.col("line") + run - 1)))).alias("at"))
+    each = F.transform("places", lambda p, i: F.struct((F.col("line") + i).alias("n"), p.alias("place")))
+    return later.groupBy("key", "text_key").agg(F.array_distinct(F.flatten(F.collect_set(each))).alias("at"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """docs with `text` less the later repeated runs, and three more columns: lines_before, lines_removed, runs_removed."""
     found = later_lines(docs, key, text, gram, window).select(F.col("key").alias("__key"), F.col("text_key").alias("__text_key"), "at")
     t = F.col(text)
-    rows = docs.withColumn("__hash", F.xxhash64(t)).join(found, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__text_key")), "left")
-    at = F.coalesce("at", F.array().cast("array<int>"))
-    plain = lines_of(t)
-    # the number of each line among the non-blank ones
-    numbered = F.aggregate(
-        plain,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
-        lambda acc, x: F.when(F.trim(x) == "", F.struct(acc["n"].alias("n"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(
-            F.struct((acc["n"] + 1).alias("n"), F.when(F.array_contains(F.col("__at"), acc["n"]), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"))
-        ),
-        lambda acc: F.array_join(acc["kept"], "\n"),
+    # the text crosses the join as its lines, once
+    rows = docs.withColumns({"__hash": F.xxhash64(t), "__lines": F.split(t, "\n"), "__solid": F.size(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""))}).drop(text)
+    rows = rows.join(found.withColumnRenamed("at", "__at"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__text_key")), "left")
+    numbers = F.transform("__at", lambda x: x["n"])
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.transform("__at", lambda x: x["place"]))
+    return rows.select(
+        *[F.array_join(F.when(F.col("__at").isNull(), F.col("__lines")).otherwise(F.transform(kept, lambda i: F.get("__lines", i))), "\n").alias(text) if c == text else F.col(c) for c in docs.columns],
+        F.greatest(F.lit(0), F.coalesce("__solid", F.lit(0))).cast("long").alias("lines_before"),
+        F.when(F.col("__at").isNull(), 0).otherwise(F.size("__at")).cast("long").alias("lines_removed"),
+        F.when(F.col("__at").isNull(), 0).otherwise(F.size(F.array_except(numbers, F.transform("__at", lambda x: x["n"] + 1)))).cast("long").alias("runs_removed"),
     )
-    out = rows.withColumn("__at", at)
-    return out.withColumns(
-        {
-            "lines_before": F.when(t.isNull(), 0).otherwise(F.size(_trimmed(t))).cast("long"),
-            "lines_removed": F.size("__at").cast("long"),
-            "runs_removed": F.size(F.filter("__at", lambda i: ~F.array_contains(F.col("__at"), i - 1))).cast("long"),
-            text: F.when(F.size("__at") > 0, numbered).otherwise(t),
-        }
-    ).drop("__key", "__text_key", "__hash", "__at", "at")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

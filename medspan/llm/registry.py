@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medspan.llm import fingerprint, line_dedup, packing, sharding
+from medspan.llm import fingerprint, line_dedup, packing, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sharding": sharding.op3_sharding,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_packing": packing.op5_packing,
         "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
         "op9_line_dedup": line_dedup.op9_line_dedup,
