@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medspan.llm import fingerprint, line_dedup, packing, sharding, toxicity
+from medspan.llm import fingerprint, line_dedup, ngram_join, packing, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op3_sharding": sharding.op3_sharding,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_packing": packing.op5_packing,
