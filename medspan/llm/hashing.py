@@ -54,8 +54,9 @@ def prefix(data: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a column of texts, one after the other, and where each begins (one more entry than texts)."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    """The UTF-8 bytes of a column of texts (or binaries), one after the other, and where each begins (one more entry)."""
+    if texts.type != pa.large_binary():
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)

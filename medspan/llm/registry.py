@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medspan.llm import fingerprint, line_dedup, ngram_join, packing, sharding, toxicity
+from medspan.llm import fingerprint, line_dedup, ngram_join, packing, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.op5_packing,
         "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
     }
 
 
