@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from medspan.llm.common import durable, number_within, table
 
 WINDOW, END_ID = 4096, 2
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -54,7 +55,13 @@ class Ids:
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _parts(run: str) -> tuple[str, str]:
+        """A word and the sign that closes it, if that is all there is: the tokenizer splits the two, and lowers the word."""
+        word, sign = (run[:-1], run[-1]) if run[-1] in ".,;:" and run[:-1].isalpha() else (run, "")
+        return word.lower() if word.isascii() else word, sign
 
     def of(self, text: str) -> bytes:
         if self.odd.search(text):
@@ -62,11 +69,15 @@ class Ids:
         runs = text.split()
         found = list(map(self.cache.get, runs))
         if None in found:
-            new = list({r for r, f in zip(runs, found) if f is None})
+            parts = {r: self._parts(r) for r, f in zip(runs, found) if f is None}
+            new = list({x for p in parts.values() for x in p if x and x not in self.cache})
             made = dict(zip(new, self._encode(new)))
-            found = [made[r] if f is None else f for r, f in zip(runs, found)]
+            get = lambda x: (made.get(x) or self.cache[x]) if x else b""
+            whole = {r: get(word) + get(sign) for r, (word, sign) in parts.items()}
+            found = [whole[r] if f is None else f for r, f in zip(runs, found)]
             if len(self.cache) < CACHE_ENTRIES:
                 self.cache.update(made)
+                self.cache.update(whole)
         return b"".join(found)
 
 

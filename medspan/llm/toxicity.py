@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from medspan.llm.common import table
 
@@ -186,13 +187,25 @@ def _calibrated(train: DataFrame, model: Model, ridge: float = 0.05, rounds: int
     return model
 
 
+def _probability(model: Model) -> Column:
+    a, b, c = (F.lit(float(x)) for x in model.coefficients)
+    return 1 / (1 + F.exp(-(a + b * F.log1p("weight") + c * F.log1p(100 * F.col("weight") / F.col("words")))))
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score (0 to 1) and weight, words for each row."""
     rows = docs.select(F.col(key).cast("long").alias("key"), fold(F.col(text)).alias("folded"))
     found = rows.mapInArrow(_features(model, ["key"]), "key long, weight double, words long")
-    a, b, c = (F.lit(float(x)) for x in model.coefficients)
-    z = a + b * F.log1p("weight") + c * F.log1p(100 * F.col("weight") / F.col("words"))
-    return found.select(F.col("key").alias(key), (1 / (1 + F.exp(-z))).alias("score"), "weight", "words")
+    return found.select(F.col("key").alias(key), _probability(model).alias("score"), "weight", "words")
+
+
+def keep(docs: DataFrame, model: Model, text: str = "text", below: float = 0.5) -> DataFrame:
+    """The rows of docs that score under `below`, all columns as they are."""
+    carried = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], fold(F.col(text)).alias("folded"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    schema = StructType([StructField(n, carried.schema[n].dataType) for n in names] + [StructField("weight", DoubleType()), StructField("words", LongType())])
+    found = carried.mapInArrow(_features(model, names), schema)
+    return found.filter(_probability(model) < below).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
