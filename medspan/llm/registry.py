@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medspan.llm import fingerprint, line_dedup, ngram_join, packing, sharding, suffix_dedup, toxicity, url_filter
+from medspan.llm import fingerprint, line_dedup, ngram_join, packing, sentencepiece_sampling, sharding, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_packing": packing.op5_packing,
         "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
+        "op7_sentencepiece_sampling": sentencepiece_sampling.op7_sentencepiece_sampling,
         "op8_url_filters": url_filter.op8_url_filters,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
