@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medspan.llm import fingerprint, line_dedup, ngram_join, packing, sentencepiece_sampling, sharding, suffix_dedup, toxicity, url_filter
+from medspan.llm import fingerprint, line_dedup, media, ngram_join, packing, sentencepiece_sampling, sharding, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media_columns": media.op1_media_columns,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op3_sharding": sharding.op3_sharding,
         "op4_toxicity": toxicity.op4_toxicity,
