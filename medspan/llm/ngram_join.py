@@ -6,7 +6,8 @@ is long when at least `long_list` documents hold it, else short. Shingles are or
 after them. Of a document's first n - T + 1 shingles in that order any partner holds one; the lists of those are merged, and
 the long lists beyond are only probed, by binary search in the other document's sorted shingles. A pair met on a list at
 places i and j can share at most min(n_a - i, n_b - j) more, which must reach the overlap that the sizes ask for: that drops
-most pairs of large groups before any text is read.
+most pairs of large groups before any text is read. The rest is bounded again by counts of shingles in buckets, since sets
+share at most the sum of the smaller counts; only what passes is compared whole.
 
 Equal sets are one class. Only components are asked for, so pairs that are already connected need no test: first each list's
 members are tested against the list's most common member (a star, linear in the list), and then only pairs between different
@@ -33,7 +34,7 @@ from medspan.llm.common import durable, slices, table
 from medspan.llm.hashing import U64, distinct_sets, set_key
 
 MOST_LONG, LEAST_LONG, MOST_BROADCAST = 1 << 20, 64, 200_000
-NAME_BITS = 44
+NAME_BITS, BUCKETS = 44, 256
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -126,12 +127,13 @@ def _long(parts: int, least: int):
 
 
 def _lists(k: int, num: int, den: int, names: np.ndarray, entries: np.ndarray):
-    """(token, long, node, n, place, common) for each of a document's first n - T + 1 shingles."""
+    """(token, node, meta) for each of a document's first n - T + 1 shingles; meta packs n, the place, how common the
+    document's shingles are, and whether the list is long. A place past its bits is cut short, which only loosens the bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            token, flag, node, size, place, common = [], [], [], [], [], []
+            token, node, meta = [], [], []
             for x in distinct_sets(_column(batch, "text"), k):
                 n = len(x)
                 if not n:
@@ -154,20 +156,16 @@ def _lists(k: int, num: int, den: int, names: np.ndarray, entries: np.ndarray):
                 else:
                     first = x[:p]
                 token.append(first)
-                flag.append(np.arange(p) >= n - many)
                 node.append(np.full(p, key, dtype=np.int64))
-                size.append(np.full(p, n, dtype=np.int32))
-                place.append(np.arange(p, dtype=np.int32))
-                common.append(np.full(p, 1000 * many // n, dtype=np.int32))
+                place = np.minimum(np.arange(p, dtype=np.int64), PLACES)
+                meta.append((np.int64(n) << 32) | (place << 11) | (np.int64(1000 * many // n) << 1) | (np.arange(p) >= n - many))
             if token:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(token).astype(np.int64)), *(pa.array(np.concatenate(c)) for c in (flag, node, size, place, common))], names=["token", "long", "node", "n", "place", "common"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).astype(np.int64)), *(pa.array(np.concatenate(c)) for c in (node, meta))], names=["token", "node", "meta"])
 
     return run
 
 
-LIST_SCHEMA = "token long, long boolean, node long, n int, place int, common int"
+LIST_SCHEMA, PLACES = "token long, node long, meta long", (1 << 20) - 1
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +179,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = batch if n else held
             continue
         token, node = (_column(batch, c).to_numpy(zero_copy_only=False) for c in ("token", "node"))
-        many = _column(batch, "long").to_numpy(zero_copy_only=False)
+        many = (_column(batch, "meta").to_numpy(zero_copy_only=False) & 1) == 1
         # the last two rows of a token may be needed to judge what follows: keep from the last token's first row if short
         same = token[1:] == token[:-1]
         repeat = np.concatenate([[False], same & (node[1:] == node[:-1])])
@@ -193,7 +191,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = batch.slice(cut)
     if held is not None:
         token, node = (_column(held, c).to_numpy(zero_copy_only=False) for c in ("token", "node"))
-        many = _column(held, "long").to_numpy(zero_copy_only=False)
+        many = (_column(held, "meta").to_numpy(zero_copy_only=False) & 1) == 1
         repeat = np.concatenate([[False], (token[1:] == token[:-1]) & (node[1:] == node[:-1])])
         yield held.filter(pa.array(_of_two(token, many, repeat)))
 
@@ -252,9 +250,42 @@ def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return durable(docs.join(wanted, "doc_id").select("node", "text").dropDuplicates(["node"]))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_overlap(k, num, den), "a long, b long"))
+def _counts(k: int):
+    """node, counts: how many of a set's shingles fall into each of BUCKETS buckets by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.bincount((x & U64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype("<u4") for x in distinct_sets(_column(batch, "text"), k)]
+            # planes of bytes: the upper ones are all zero, mostly, and shuffle compressed
+            yield pa.RecordBatch.from_arrays([_column(batch, "node"), pa.array([c.view(np.uint8).reshape(-1, 4).T.tobytes() for c in counts], pa.binary())], names=["node", "counts"])
+
+    return run
+
+
+def _possible(num: int, den: int):
+    """Of (a, b, ca, cb): the pairs whose overlap may reach the threshold, as it is at most the sum of the smaller counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = lambda c: np.frombuffer(b"".join(_column(batch, c).to_pylist()), dtype=np.uint8).reshape(-1, 4, BUCKETS).astype(np.int64)
+            whole = lambda c: sum(c[:, i] << (8 * i) for i in range(4))
+            x, y = (whole(counts(c)) for c in ("ca", "cb"))
+            most = np.minimum(x, y).sum(axis=1)
+            keep = den * most >= num * (x.sum(axis=1) + y.sum(axis=1) - most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs that link: first by bucket counts, then, of those that may, by the sets themselves."""
+    texts = _texts(docs, classes, pairs)
+    counts = durable(texts.mapInArrow(_counts(k), "node long, counts binary"))
+    sided = lambda x, c, to: x.select(F.col("node").alias(to), F.col(c).alias(f"{c[0]}{to}"))
+    both = pairs.join(sided(counts, "counts", "a"), "a").join(sided(counts, "counts", "b"), "b").select("a", "b", "ca", "cb")
+    some = durable(both.mapInArrow(_possible(num, den), "a long, b long"))
+    whole = some.join(sided(texts, "text", "a"), "a").join(sided(texts, "text", "b"), "b").select("a", "b", "ta", "tb")
+    return durable(whole.mapInArrow(_overlap(k, num, den), "a long, b long"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -271,8 +302,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, n
     names, entries = found["name"].to_numpy()[order].astype(U64), found["entries"].to_numpy()[order]
 
     lists = docs.mapInArrow(_lists(k, num, den, names, entries), LIST_SCHEMA)
-    dealt = lists.withColumn("deal", F.when(F.col("long"), F.xxhash64("token", "node")).otherwise(F.col("token"))).repartition("deal").drop("deal")
-    lists = durable(dealt.sortWithinPartitions("token", "node").mapInArrow(_shared, LIST_SCHEMA))
+    dealt = lists.repartition(F.when(F.col("meta").bitwiseAND(F.lit(1)) == 1, F.xxhash64("token", "node")).otherwise(F.col("token")))
+    packed = durable(dealt.sortWithinPartitions("token", "node").mapInArrow(_shared, LIST_SCHEMA))
+    bits = lambda shift, width: F.shiftright("meta", shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    lists = packed.select("token", "node", bits(32, 30).alias("n"), bits(11, 20).alias("place"), bits(1, 10).alias("common"))
 
     need = F.ceil(num * (F.col("n") + F.col("n2")) / F.lit(num + den))
     fits = (den * F.least("n", "n2") >= num * F.greatest("n", "n2")) & (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= need)
@@ -281,7 +314,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, n
     lead = lists.groupBy("token").agg(F.min(F.struct((-F.col("common")).alias("c"), "node", "n", "place")).alias("l")).select("token", F.col("l.node").alias("node2"), F.col("l.n").alias("n2"), F.col("l.place").alias("place2"))
     star = lists.join(lead, "token").filter((F.col("node") != F.col("node2")) & fits)
     star = durable(star.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())
-    links = _linked(star, _texts(docs, classes, star), k, num, den)
+    links = _linked(star, docs, classes, k, num, den)
 
     roots = components(links)
     placed = durable(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -289,7 +322,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, n
     near = placed.join(mixed, "token")
     across = near.join(other(near, "node", "n", "place", "root"), "token").filter((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & fits)
     across = durable(across.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    more = _linked(across, _texts(docs, classes, across), k, num, den)
+    more = _linked(across, docs, classes, k, num, den)
 
     roots = components(links.unionByName(more))
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
