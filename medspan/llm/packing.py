@@ -149,33 +149,33 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
         while left:
             capacity = tree.tightest(length)
             if capacity is None:
-                # new windows, each filled with as many items of this length as fit: the tightest fit is then the one just opened
-                each = window // length
-                new, rest = divmod(left, each)
-                first = windows
-                for k in range(each):
-                    if new:
-                        out.append((length, item, first, k * length))
-                        item += new
-                if new:
-                    put(window - each * length, first, new)
-                for k in range(rest):
-                    out.append((length, item, first + new, k * length))
-                    item += 1
-                if rest:
-                    put(window - rest * length, first + new, 1)
-                windows += new + bool(rest)
-                left = 0
+                capacity, first, count = window, windows, left
             else:
                 first, count = opened[capacity].popleft()
-                took = min(count, left)
-                out.append((length, item, first, window - capacity))
-                item, left = item + took, left - took
-                if took < count:
-                    opened[capacity].appendleft((first + took, count - took))
+            # no open window is tighter, so one takes items for as long as they fit before the next one gets any
+            each = capacity // length
+            whole = min(count, left // each)
+            rest = left - whole * each if whole < count else 0
+            for k in range(each):
+                if whole:
+                    out.append((length, item, first, window - capacity + k * length))
+                    item += whole
+            for k in range(rest):
+                out.append((length, item, first + whole, window - capacity + k * length))
+                item += 1
+            left -= whole * each + rest
+            used = whole + bool(rest)
+            if first == windows:
+                windows += used
+            else:
+                if used < count:
+                    opened[capacity].appendleft((first + used, count - used))
                 if not opened[capacity]:
                     tree.set(capacity, False)
-                put(capacity - length, first, took)
+            if whole:
+                put(capacity - each * length, first, whole)
+            if rest:
+                put(capacity - rest * length, first + whole, 1)
     return out
 
 
