@@ -228,7 +228,7 @@ def test_toxicity_learns_and_folds(spark, odd_docs, no_docs):
     import random
 
     rng = random.Random(1)
-    word = lambda: "".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3))
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrst") + rng.choice("aeiouy") for _ in range(4))
     rows, labels = [], []
     for i in range(600):
         words, bad = [word() for _ in range(30)], i % 4 == 0
