@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -344,3 +345,23 @@ def test_media_recall_against_brute_force(spark):
     rows = spark.createDataFrame([(50 * i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
     found = media.copies(rows).filter("query_id = match_id").count()
     assert found >= 0.9 * agreed and agreed >= 30
+
+
+def test_media_meets_every_pair(spark):
+    """Matches and copies are those of comparing all descriptors and asking the consensus about every two images."""
+    vectors = np.random.default_rng(9).normal(size=(12, 64)).astype(np.float32)
+    images = media.render(vectors)
+    whole, asked = media.describe(images), media.describe(np.stack([media.edit(x, 2 * i) for i, x in enumerate(images)]))
+    bits = lambda x: np.unpackbits(x.view(np.uint8), axis=1)
+    want = {}
+    for (a, (p, q)), (b, (r, d)) in itertools.product(enumerate(asked), enumerate(whole)):
+        i, j = np.nonzero((bits(q)[:, None, :] != bits(d)[None]).sum(axis=2) <= media.MOST_BITS)
+        if len(i):
+            names = ("x", "y", "scale", "angle")
+            pairs = pd.DataFrame({"query_id": 2 * a, "image": 2 * b, "qcorner": i, "corner": j} | {f"q{n}": p[i, k] for k, n in enumerate(names)} | {n: r[j, k] for k, n in enumerate(names)})
+            found = media._consensus(pairs).iloc[0]
+            if found["n_inliers"] >= media.LEAST_INLIERS:
+                want[2 * a, 2 * b] = (found["n_matches"], found["n_inliers"])
+    rows = spark.createDataFrame([(2 * i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["match_id"]): (r["n_matches"], r["n_inliers"]) for r in media.copies(rows, every=2).filter("match_id is not null").collect()}
+    assert got == want and len(want) >= 12
