@@ -365,3 +365,11 @@ def test_media_meets_every_pair(spark):
     rows = spark.createDataFrame([(2 * i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
     got = {(r["query_id"], r["match_id"]): (r["n_matches"], r["n_inliers"]) for r in media.copies(rows, every=2).filter("match_id is not null").collect()}
     assert got == want and len(want) >= 12
+
+
+def test_media_finds_turned_and_halved_copies(spark):
+    vectors = np.random.default_rng(9).normal(size=(30, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(2 * i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    for change in (lambda x, i: media.edit(media.turned(x, 0.4, 1.0), i), lambda x, i: media.turned(x, 0.0, 0.5)):
+        got = media.copies(rows, every=2, edited=change).collect()
+        assert sum(r["query_id"] == r["match_id"] for r in got) >= 24
