@@ -6,7 +6,7 @@ piece covers fall back to byte pieces. Decoding joins the pieces again and gives
 
 Each whole segmentation carries its log probability plus Gumbel noise; the k largest are a sample without replacement. They
 are found top down: the best of a set of segmentations is drawn exactly (backward sampling over the words), and the rest of
-the set splits by the first word that differs. The maximum of each part is a Gumbel variate, truncated at the parent's, so
+the set splits by the first word that differs, and that word's segmentations by the first piece that differs. The maximum of each part is a Gumbel variate, truncated at the parent's, so
 the parts can wait in a queue under that bound until the largest is expanded. The bound left in the queue after k is the
 threshold for inclusion scores: 1 - exp(-exp(log p - threshold)). All noise is hashed from (row key, word, step), so that a
 row's samples do not depend on partitioning.
@@ -30,7 +30,8 @@ from medspan.llm.hashing import U64, mix
 
 SAMPLES = 2
 MARK = "▁"
-LEAST_LEFT = 1e-9
+# what a word leaves beyond one segmentation is 1 - p where that is more than this, and summed over the others below it
+SURE_LEFT = 1e-6
 CACHED_WORDS, CHUNK_CHARS = 150_000, 600_000
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, round_trip boolean"
 
@@ -59,12 +60,12 @@ class Lattice:
         self.cache: dict[str, tuple] = {}
         self.names = {i: p.encode() for p, (i, _) in self.arcs.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
 
-    def word(self, word: str) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]], np.ndarray, float]:
-        """(cumulative probabilities + row number, arc lengths, arc ids, arc log probabilities, log of the sum)."""
+    def word(self, word: str) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]], np.ndarray, np.ndarray, np.ndarray]:
+        """(cumulative probabilities + row number, arc lengths, arc ids, arc log probabilities, logs of the sums, arc rows)."""
         if (got := self.cache.get(word)) is not None:
             return got
         n, arcs, longest = len(word), self.arcs, self.longest
-        total, cum, length, ids, logs = [0.0], [], [], [], []
+        total, cum, length, ids, logs, rows = [0.0], [], [], [], [], []
         for end in range(1, n + 1):
             here = []
             for start in range(max(0, end - longest), end):
@@ -87,8 +88,9 @@ class Lattice:
                 length.append(h[1])
                 ids.append(h[2])
                 logs.append(h[3])
+                rows.append(end - 1)
             cum[-1] = float(end)
-        out = (np.array(cum), np.array(length, dtype=np.int32), ids, np.array(logs), total[n])
+        out = (np.array(cum), np.array(length, dtype=np.int32), ids, np.array(logs), np.array(total), np.array(rows, dtype=np.int64))
         if len(self.cache) < CACHED_WORDS:
             self.cache[word] = out
         return out
@@ -114,7 +116,13 @@ class Chunk:
         self.length = np.concatenate([g[1] for g in got]) if got else np.zeros(0, dtype=np.int32)
         self.log = np.concatenate([g[3] for g in got]) if got else np.zeros(0)
         self.ids = [i for g in got for i in g[2]]
-        self.total = np.array([g[4] for g in got])
+        self.total = np.array([g[4][-1] for g in got])
+        self.sums = [g[4] for g in got]
+        self.arc_row = np.concatenate([g[5] + r for g, r in zip(got, self.row)]) if got else np.zeros(0, dtype=np.int64)
+        self.last = np.zeros(self.row[-1], dtype=bool)
+        self.last[self.row[1:] - 1] = True
+        self.arc_begin = np.searchsorted(self.arc_row, np.arange(self.row[-1] + 1))
+        self.known: dict[tuple[int, ...], float] = {}
         doc = np.repeat(np.arange(len(texts)), np.diff(self.begin))
         place = np.arange(len(self.kind)) - self.begin[doc]
         seeds = mix(np.array(keys, dtype=np.int64).astype(U64) + U64(0x9E3779B97F4A7C15))
@@ -124,32 +132,73 @@ class Chunk:
     def uniform(self, seed: np.ndarray, salt: int) -> np.ndarray:
         return ((mix(seed ^ mix(np.array([salt + 1], dtype=U64))) >> U64(11)).astype(np.float64) + 0.5) / 2**53
 
-    def sample(self, tokens: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the words at `tokens`: log probability and signature each, and (token, arc) of all pieces in order of text."""
+    def others(self, kind: int, barred: list[tuple[int, ...]]) -> tuple[list[tuple[int, ...]], np.ndarray]:
+        """The segmentations of a word that are not barred, split by the first arc (from the end) that no barred one shares:
+        the arcs up to it, and the log probability of each part. Sums of positive terms only, so small parts are exact too."""
+        sums, size, row = self.sums[kind], int(self.size[kind]), int(self.row[kind])
+        taken: dict[tuple[int, ...], set[int]] = {}
+        for path in barred:
+            for i, arc in enumerate(path):
+                taken.setdefault(path[:i], set()).add(arc)
+        heads, logs = [], []
+        for head, gone in taken.items():
+            at = size - sum(int(self.length[a]) for a in head)
+            spent = sum(float(self.log[a]) for a in head)
+            for arc in range(self.arc_begin[row + at - 1], self.arc_begin[row + at]):
+                if arc not in gone:
+                    heads.append((*head, arc))
+                    logs.append(spent + self.log[arc] + sums[at - self.length[arc]] - sums[size])
+        return heads, np.array(logs)
+
+    def left(self, kind: int, barred: list[tuple[int, ...]]) -> float:
+        """Probability of all segmentations of a word but the barred ones; 0 if there are none."""
+        key = barred[0] if len(barred) == 1 else None
+        if key is None or key not in self.known:
+            got = float(np.exp(self.others(kind, barred)[1]).sum())
+            if key is None:
+                return got
+            self.known[key] = got
+        return self.known[key]
+
+    def another(self, token: int, barred: list[tuple[int, ...]], salt: int) -> tuple[float, np.ndarray]:
+        """A segmentation of the word at `token` drawn from those that are not barred: log probability, arcs in order of text."""
+        kind = int(self.kind[token])
+        heads, logs = self.others(kind, barred)
+        draw = lambda step: float(self.uniform(self.seed[token : token + 1], salt * 4096 + step)[0])
+        run = np.cumsum(np.exp(logs - logs.max()))
+        path = list(heads[min(int(np.searchsorted(run, draw(0) * run[-1])), len(heads) - 1)])
+        at = int(self.size[kind]) - sum(int(self.length[a]) for a in path)
+        while at > 0:
+            arc = int(np.searchsorted(self.cum, self.row[kind] + at - 1 + draw(len(path)), side="left"))
+            path.append(arc)
+            at -= int(self.length[arc])
+        return min(0.0, float(self.log[path].sum() - self.total[kind])), np.array(path[::-1], dtype=np.int64)
+
+    def sample(self, tokens: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the words at `tokens`: log probability each, and (token, arc) of all pieces in order of text."""
         kind = self.kind[tokens]
         at = self.size[kind].copy()
-        log, sign = -self.total[kind], np.zeros(len(tokens), dtype=U64)
+        log = -self.total[kind]
         live, steps, step = np.arange(len(tokens)), [], 0
         while len(live):
             row = self.row[kind[live]] + at[live] - 1
             u = self.uniform(self.seed[tokens[live]], salt * 4096 + step)
             arc = np.searchsorted(self.cum, row + u, side="left")
             log[live] += self.log[arc]
-            sign[live] = mix(sign[live] + arc.astype(U64) + U64(1))
             steps.append((live, arc))
             at[live] -= self.length[arc]
             live = live[at[live] > 0]
             step += 1
         if not steps:
-            return log, sign, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            return log, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         who, arcs = np.concatenate([s[0] for s in steps[::-1]]), np.concatenate([s[1] for s in steps[::-1]])
         order = np.argsort(who, kind="stable")
-        return np.minimum(log, 0.0), sign, tokens[who[order]], arcs[order]
+        return np.minimum(log, 0.0), tokens[who[order]], arcs[order]
 
 
 def _truncated(log_mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
     """Gumbel variates with these locations, truncated at top."""
-    return -np.log(np.exp(-top) + np.exp(-np.clip(log_mass - np.log(-np.log(u)), -700, 700)))
+    return -np.logaddexp(-top, np.log(-np.log(u)) - log_mass)
 
 
 def _search(chunk: Chunk, lattice: Lattice, k: int, data: list[str]) -> list[list[tuple]]:
@@ -157,32 +206,36 @@ def _search(chunk: Chunk, lattice: Lattice, k: int, data: list[str]) -> list[lis
     docs = range(len(chunk.words))
     everything = np.arange(len(chunk.kind))
     first = chunk.sample(everything, 0)
-    # a leaf is (log of each word, signature of each word, arcs of the text, perturbed value); a queue entry (bound, leaf, word)
+    # a leaf is (log of each word, arcs of the text, perturbed value); a queue entry (bound, leaf, word)
     leaves: list[list[tuple]] = []
     bounds: list[list[np.ndarray]] = [[] for _ in docs]
     barred: list[dict] = [{} for _ in docs]
 
     def grow(d: int, leaf: int, start: int, salt: int) -> None:
         """Split what the leaf leaves of its set: from word `start` on."""
-        log, sign, _, top = leaves[d][leaf]
+        log, arcs, top = leaves[d][leaf]
         n = len(log)
         left = -np.expm1(log)
+        ends = _ends(chunk, arcs)
+        path = lambda w: tuple(arcs[ends[w - 1] if w else 0 : ends[w]][::-1].tolist())
+        for w in np.flatnonzero(left < SURE_LEFT):
+            left[w] = chunk.left(int(chunk.kind[chunk.begin[d] + w]), [path(w)])
         if start < n and leaf:
-            left[start] = max(0.0, left[start] - sum(barred[d].get((leaf, start), {}).values()))
+            left[start] = chunk.left(int(chunk.kind[chunk.begin[d] + start]), [*barred[d][leaf, start], path(start)])
         mass = np.concatenate([[0.0], np.cumsum(log)[:-1]]) if n else log
         with np.errstate(divide="ignore"):
             mass = mass + np.log(left)
         u = chunk.uniform(chunk.seed[chunk.begin[d] : chunk.begin[d + 1]], 1_000_003 + salt)
         bound = _truncated(mass, top, u)
         bound[:start] = -np.inf
-        bound[left < LEAST_LEFT] = -np.inf
+        bound[left <= 0] = -np.inf
         bounds[d].append(bound)
 
-    cut = np.searchsorted(first[2], chunk.begin)
+    cut = np.searchsorted(first[1], chunk.begin)
     tops = -np.log(-np.log(chunk.uniform(chunk.doc_seed, 7)))
     for d in docs:
         b, e = chunk.begin[d], chunk.begin[d + 1]
-        leaves.append([(first[0][b:e], first[1][b:e], first[3][cut[d] : cut[d + 1]], float(tops[d]))])
+        leaves.append([(first[0][b:e], first[2][cut[d] : cut[d + 1]], float(tops[d]))])
         grow(d, 0, 0, 0)
     for r in range(1, k):
         picked = {}
@@ -192,38 +245,28 @@ def _search(chunk: Chunk, lattice: Lattice, k: int, data: list[str]) -> list[lis
                 picked[d] = (best[1], int(bounds[d][best[1]].argmax()), best[0])
         if not picked:
             break
-        # words after the branching one are free; the branching one is drawn again until it is new
-        wanted = np.concatenate([np.arange(chunk.begin[d] + w, chunk.begin[d + 1]) for d, (_, w, _) in picked.items()])
-        log, sign, who, arcs = chunk.sample(wanted, r)
-        at = dict(zip(picked, np.concatenate([[0], np.cumsum([chunk.begin[d + 1] - chunk.begin[d] - w for d, (_, w, _) in picked.items()])])))
+        # words after the branching one are free; the branching one is drawn from what is left of it
+        wanted = np.concatenate([np.arange(chunk.begin[d] + w + 1, chunk.begin[d + 1]) for d, (_, w, _) in picked.items()])
+        log, who, arcs = chunk.sample(wanted, r)
+        at = 0
         for d, (leaf, w, top) in picked.items():
-            parent = leaves[d][leaf]
-            ban = dict(barred[d].get((leaf, w), {}))
-            ban[int(parent[1][w])] = float(np.exp(parent[0][w]))
-            n = len(parent[0]) - w
-            mine = slice(at[d], at[d] + n)
-            lo, hi = np.searchsorted(who, [chunk.begin[d] + w, chunk.begin[d + 1]])
-            own_log, own_sign = log[mine].copy(), sign[mine].copy()
-            second = int(np.searchsorted(who, chunk.begin[d] + w + 1)) if n > 1 else hi
-            head, rest, tries = arcs[lo:second], arcs[second:hi], 0
-            while int(own_sign[0]) in ban:
-                tries += 1
-                again = chunk.sample(np.array([chunk.begin[d] + w]), 10_000 * tries + r)
-                own_log[0], own_sign[0], head = again[0][0], again[1][0], again[3]
-                if tries > 100_000:
-                    break
+            parent, token = leaves[d][leaf], int(chunk.begin[d] + w)
+            ends = _ends(chunk, parent[1])
+            begin = int(ends[w - 1]) if w else 0
+            ban = [*barred[d].get((leaf, w), []), tuple(parent[1][begin : ends[w]][::-1].tolist())]
+            own, head = chunk.another(token, ban, 10_000 + r)
+            n = int(chunk.begin[d + 1]) - token - 1
+            lo, hi = np.searchsorted(who, [token + 1, chunk.begin[d + 1]])
             bounds[d][leaf][w] = -np.inf
-            if int(own_sign[0]) in ban:
-                continue
-            before = parent[2][: _arcs_of(chunk, parent[2], w)]
-            leaves[d].append((np.concatenate([parent[0][:w], own_log]), np.concatenate([parent[1][:w], own_sign]), np.concatenate([before, head, rest]), top))
-            barred[d][(len(leaves[d]) - 1, w)] = ban
+            leaves[d].append((np.concatenate([parent[0][:w], [own], log[at : at + n]]), np.concatenate([parent[1][:begin], head, arcs[lo:hi]]), top))
+            at += n
+            barred[d][len(leaves[d]) - 1, w] = ban
             grow(d, len(leaves[d]) - 1, w, r)
     out = []
     for d in docs:
         threshold = max((float(b.max()) for b in bounds[d] if len(b)), default=-np.inf)
         rows = []
-        for log, _, arcs, top in leaves[d]:
+        for log, arcs, top in leaves[d]:
             ids = [i for a in arcs.tolist() for i in chunk.ids[a]]
             p = float(log.sum())
             included = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(min(700.0, p - threshold))))
@@ -232,17 +275,9 @@ def _search(chunk: Chunk, lattice: Lattice, k: int, data: list[str]) -> list[lis
     return out
 
 
-def _arcs_of(chunk: Chunk, arcs: np.ndarray, words: int) -> int:
-    """How many of a text's arcs make up its first `words` words: each word's arcs end where its length is used up."""
-    if not words:
-        return 0
-    starts = np.searchsorted(chunk.row, _rows(chunk, arcs), side="right") - 1
-    ends = _rows(chunk, arcs) - chunk.row[starts] + 1 == chunk.size[starts]
-    return int(np.flatnonzero(ends)[words - 1]) + 1
-
-
-def _rows(chunk: Chunk, arcs: np.ndarray) -> np.ndarray:
-    return np.ceil(chunk.cum[arcs]).astype(np.int64) - 1
+def _ends(chunk: Chunk, arcs: np.ndarray) -> np.ndarray:
+    """How many of a text's arcs there are up to the end of each word: its last arc stands in its last row."""
+    return np.flatnonzero(chunk.last[chunk.arc_row[arcs]]) + 1
 
 
 def decode(lattice: Lattice, ids: list[int]) -> str:

@@ -313,6 +313,22 @@ def test_samples_follow_the_model():
     assert abs(np.mean([sum(np.exp(y[1]) / y[3] for y in x) for x in found]) - 1) < 0.02
 
 
+def test_sampling_returns_all_segmentations_of_short_texts():
+    g = sentencepiece_sampling
+    lattice = g.Lattice(g.default_model())
+
+    def all_of(word):
+        return [()] if not word else [(a[0], *s) for n in range(1, len(word) + 1) if (a := lattice.arcs.get(word[:n])) for s in all_of(word[n:])]
+
+    for text in ("a", "I", "b", "x", "of", "a I", "of a"):
+        want = {zlib.crc32(np.array(sum(p, ()), dtype="<u4").tobytes()) for p in itertools.product(*map(all_of, g.words_of(text)))}
+        for k in (2, len(want), len(want) + 3):
+            for rows in g._search(g.Chunk(lattice, [text] * 20, list(range(20))), lattice, k, [text] * 20):
+                found = {r[4] for r in rows}
+                assert len(rows) == len(found) == min(k, len(want)) and found <= want
+                assert all(r[5] for r in rows) and (k < len(want) or all(r[3] == 1 for r in rows))
+
+
 # --- media
 
 
