@@ -1,7 +1,8 @@
 """Suffix-array dedup: remove every byte covered by a LENGTH-byte string that also starts anywhere else.
 
-The suffixes to compare are sampled and induced, recursively, with the tuples carried by Spark's external sort (sorted runs
-spilled to disk and merged by priority, so a shard may far exceed memory):
+External induced sorting is replaced by anchor hashing: there are no suffix ranks, common-prefix values, priority queues or
+recursion. Positions are matched by grouping hashes in Spark, which spills; only the contexts left over are sorted, by gram
+alone, and grouped by hashed names in memory:
 
 1. Sampling. Of the grams of GRAM bytes inside a LENGTH-byte string the smallest by hash is its anchor. Equal strings have
    equal anchors at equal offsets, so only suffixes at anchors need sorting (about one in (LENGTH - GRAM) / 2 bytes). Anchors
@@ -10,8 +11,8 @@ spilled to disk and merged by priority, so a shard may far exceed memory):
    Ranges with equal tuples share a common prefix over their whole extent: all their positions repeat, and one of them
    stands for the rest from here on.
 3. Induction. What is left (ranges that differ somewhere from all others of their gram) is induced position by position:
-   tuples (gram, offset, name of the next LENGTH bytes), compared within their gram only. Two positions whose names agree have a
-   common-prefix value of LENGTH at least.
+   tuples (gram, offset, name of the next LENGTH bytes), compared within their gram only. Two positions whose names agree share
+   LENGTH bytes at least.
 
 Names are 64-bit hashes and are compared together with the 64-bit gram, so order among unequal suffixes, which nothing here
 asks for, is not computed. Grams with more than HOT distinct ranges are induced by a grouped count that combines before it
