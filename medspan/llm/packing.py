@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from medspan.llm.common import durable, number_within, table
 
 WINDOW, END_ID = 4096, 2
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES, SLICE_BYTES = 1_000_000, 1 << 21
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -42,10 +42,15 @@ def default_tokenizer() -> str:
 
 
 class Ids:
-    """Little-endian 32-bit ids of texts. This tokenizer never joins across white space, so runs between it are cached."""
+    """Little-endian 32-bit ids of texts. This tokenizer never joins across white space, so runs between it are cached.
+
+    Words that no text had before are encoded together, many in one call: a run of letters always ends in one id that
+    closes a word, and only there, so that the ids part again without asking the tokenizer for places."""
 
     # Python splits at these too, the tokenizer does not
     odd = re.compile("[\x1c-\x1f]")
+    # a word and signs that close it: the tokenizer parts the two, and lowers the word
+    closed = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,32 +58,70 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _parts(run: str) -> tuple[str, str]:
-        """A word and the sign that closes it, if that is all there is: the tokenizer splits the two, and lowers the word."""
-        word, sign = (run[:-1], run[-1]) if run[-1] in ".,;:" and run[:-1].isalpha() else (run, "")
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of runs of letters."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words):
+            return self._encode(words)
+        data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[x:y] for x, y in zip(at, at[1:])]
+
+    def _parts(self, run: str) -> tuple[str, str]:
+        found = None if run.isalpha() else self.closed.fullmatch(run)
+        word, sign = found.groups() if found else (run, "")
         return word.lower() if word.isascii() else word, sign
 
+    def _learn(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of runs; cached as long as there is room."""
+        parts = {r: self._parts(r) for r in runs}
+        new = dict.fromkeys(x for p in parts.values() for x in p if x and x not in self.cache)
+        plain, other = [x for x in new if x.isalpha()], [x for x in new if not x.isalpha()]
+        made = dict(zip(plain, self._words(plain) if plain else [])) | dict(zip(other, self._encode(other)))
+        get = lambda x: (made.get(x) or self.cache[x]) if x else b""
+        whole = {r: get(word) + get(sign) for r, (word, sign) in parts.items()}
+        if len(self.cache) < CACHE_ENTRIES:
+            self.cache.update(made)
+            self.cache.update(whole)
+        return whole
+
+    def of_all(self, texts: list[str]) -> list[bytes]:
+        split = [None if self.odd.search(t) else t.split() for t in texts]
+        cached = self.cache
+        whole = self._learn(list(dict.fromkeys(r for runs in split if runs for r in runs if r not in cached)))
+        out = []
+        for text, runs in zip(texts, split):
+            if runs is None:
+                out.append(self._encode([text])[0])
+                continue
+            found = list(map(cached.get, runs))
+            if None in found:
+                found = [whole[r] if f is None else f for r, f in zip(runs, found)]
+            out.append(b"".join(found))
+        return out
+
     def of(self, text: str) -> bytes:
-        if self.odd.search(text):
-            return self._encode([text])[0]
-        runs = text.split()
-        found = list(map(self.cache.get, runs))
-        if None in found:
-            parts = {r: self._parts(r) for r, f in zip(runs, found) if f is None}
-            new = list({x for p in parts.values() for x in p if x and x not in self.cache})
-            made = dict(zip(new, self._encode(new)))
-            get = lambda x: (made.get(x) or self.cache[x]) if x else b""
-            whole = {r: get(word) + get(sign) for r, (word, sign) in parts.items()}
-            found = [whole[r] if f is None else f for r, f in zip(runs, found)]
-            if len(self.cache) < CACHE_ENTRIES:
-                self.cache.update(made)
-                self.cache.update(whole)
-        return b"".join(found)
+        return self.of_all([text])[0]
+
+
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column in order, in lists of about SLICE_BYTES; null is empty."""
+    out, size = [], 0
+    for i in range(len(texts)):
+        out.append(texts[i].as_py() or "")
+        size += len(out[-1])
+        if size >= SLICE_BYTES:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
 
 
 _IDS: dict[str, Ids] = {}
@@ -94,9 +137,9 @@ def _pieces(path: str, window: int, end_id: int):
         for batch in batches:
             keys = batch.column(0).to_pylist()
             out: list[tuple] = []
-            texts = batch.column(1)
-            for i, key in enumerate(keys):
-                data = ids.of(texts[i].as_py() or "") + end
+            coded = (data for some in _slices(batch.column(1)) for data in ids.of_all(some))
+            for key, data in zip(keys, coded):
+                data += end
                 n = len(data) // 4
                 out += [(key, at, min(window, n - at), zlib.crc32(data[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
             columns = list(zip(*out)) or [()] * 5
