@@ -1,26 +1,27 @@
 """Suffix-array dedup: remove every byte covered by a LENGTH-byte string that also starts anywhere else.
 
-External induced sorting is replaced by anchor hashing: there are no suffix ranks, common-prefix values, priority queues or
-recursion. Positions are matched by grouping hashes in Spark, which spills; only the contexts left over are sorted, by gram
-alone, and grouped by hashed names in memory:
+External induced sorting, with Spark's sorter (sorted runs spilled to disk and merged through a priority queue) as the external
+queue, and suffix tuples that carry their bytes and common-prefix values:
 
 1. Sampling. Of the grams of GRAM bytes inside a LENGTH-byte string the smallest by hash is its anchor. Equal strings have
-   equal anchors at equal offsets, so only suffixes at anchors need sorting (about one in (LENGTH - GRAM) / 2 bytes). Anchors
-   whose gram occurs once are dropped: nothing there repeats.
-2. Ranges. All positions with the same anchor form a range; its tuple is (gram, name of all bytes that its strings cover).
-   Ranges with equal tuples share a common prefix over their whole extent: all their positions repeat, and one of them
-   stands for the rest from here on.
-3. Induction. What is left (ranges that differ somewhere from all others of their gram) is induced position by position:
-   tuples (gram, offset, name of the next LENGTH bytes), compared within their gram only. Two positions whose names agree share
-   LENGTH bytes at least.
-
-Names are 64-bit hashes and are compared together with the 64-bit gram, so order among unequal suffixes, which nothing here
-asks for, is not computed. Grams with more than HOT distinct ranges are induced by a grouped count that combines before it
-shuffles; the others are compared shard by shard. Both are exact for whole texts; matches never cross documents.
+   equal anchors at equal offsets, so only suffixes at anchors (about two in LENGTH - GRAM bytes) are sorted, the others
+   induced. Anchors whose gram occurs once are dropped: nothing there repeats.
+2. Names. All positions of a text with the same anchor form a range; ranges of a gram that cover the same bytes get one name
+   and repeat as a whole. One of them stands for the rest from here on.
+3. Sorting and induction. The ranges that differ somewhere from all others of their gram become suffix tuples (name, bytes
+   after the anchor, bytes before it), sorted by Spark. Neighbours' common-prefix values are counted on the bytes; then the
+   order and the common prefixes of the suffixes one byte further left are induced from those before, offset by offset.
+   Positions with LENGTH bytes in common with a neighbour repeat.
+4. Recursion. A group of more than HELD tuples never comes into one task: its tuples are named anew, for the nearer and the
+   farther half of the offsets, by the bytes that all strings of the half cover, and the groups of the new names are treated
+   alike. After nine rounds at most a name covers whole strings. The result does not depend on HELD.
+
+Only agreement over LENGTH bytes is asked for, so suffixes are sorted as far as that. Names of ranges are 64-bit hashes compared within a
+64-bit gram hash; rows are told apart by 128 bits of key and text. Matches never cross documents.
 
 Null text counts as empty. Texts shorter than LENGTH bytes keep everything. Repeated rows are documents of their own, so
-their bytes repeat. A null doc_id is an ordinary value. Extra columns are ignored by `spans` and kept by `dedup`.
-An empty table gives an empty result.
+their bytes repeat. A null doc_id is an ordinary value. Extra columns, whatever their names, are ignored by `spans` and kept
+by `dedup`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,10 @@ from medspan.llm.common import durable, table
 from medspan.llm.hashing import PLAIN, U64, bytes_of, chunks, mix, powers, prefix
 
 LENGTH, GRAM = 400, 128
-HOT, MOST_BROADCAST = 50_000, 200_000
+# the shortest repeat that fifty words make, and its gram
+PASSAGE, PASSAGE_GRAM = 200, 48
+HELD, SHARD, MOST_BROADCAST = 4096, 4096, 200_000
+OWN, REST = "suffix dedup: row", "suffix dedup: rest"
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -58,11 +62,11 @@ def _smallest(values: np.ndarray, window: int) -> np.ndarray:
 
 
 def _ranges(length: int, gram: int):
-    """(gram, uid, lo, hi, at, name): the positions lo..hi of a text whose strings have the same anchor, at `at`."""
+    """(gram, u, v, lo, hi, at, name): the positions lo..hi of a text whose strings have the same anchor, at `at`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid = _column(batch, "uid").to_numpy(zero_copy_only=False)
+            u, v = (_column(batch, c).to_numpy(zero_copy_only=False) for c in ("u", "v"))
             for first, data, at in chunks(_column(batch, "text")):
                 n = len(data)
                 if n < length:
@@ -85,140 +89,202 @@ def _ranges(length: int, gram: int):
                 name = mix((h[end] - h[lo]) * inverse[lo] + mix((end - lo).astype(U64) * U64(1 << 32) + (a - lo).astype(U64)))
                 base = at[t]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[a].astype(np.int64)), pa.array(uid[first + t]), *(pa.array((x - base).astype(np.int64)) for x in (lo, hi, a)), pa.array(name.astype(np.int64))],
-                    names=["gram", "uid", "lo", "hi", "at", "name"],
+                    [pa.array(grams[a].astype(np.int64)), pa.array(u[first + t]), pa.array(v[first + t]), *(pa.array((x - base).astype(np.int64)) for x in (lo, hi, a)), pa.array(name.astype(np.int64))],
+                    names=["gram", "u", "v", "lo", "hi", "at", "name"],
                 )
 
     return run
 
 
-RANGES = "gram long, uid long, lo long, hi long, at long, name long"
-CONTEXTS = "gram long, uid long, lo long, at long, open boolean, context binary"
+RANGES = "gram long, u long, v long, lo long, hi long, at long, name long"
+TUPLES = "name long, u long, v long, at long, open boolean, near long, far long, first long, last long, left binary, right binary"
+TUPLE_COLUMNS = tuple(c.split()[0] for c in TUPLES.split(", "))
 
 
-def _contexts(length: int):
-    """The bytes that a range's strings cover, for each wanted range of a text."""
+def _tuples(length: int, gram: int):
+    """The suffix tuple of each wanted range of a text: the bytes before and after its anchor that its strings cover, and which
+    offsets before the anchor its positions have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids = _column(batch, "uid").to_pylist()
+            u, v = _column(batch, "u").to_pylist(), _column(batch, "v").to_pylist()
             texts = _column(batch, "text")
             for i, wanted in enumerate(_column(batch, "wanted").to_pylist()):
                 data = (texts[i].as_py() or "").encode()
-                columns = list(zip(*[(w["gram"], uids[i], w["lo"], w["at"], w["open"], data[w["lo"] : w["hi"] + length]) for w in wanted]))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["gram", "uid", "lo", "at", "open", "context"])
+                rows = [
+                    (w["gram"], u[i], v[i], w["at"], w["open"], 0, length - gram, w["at"] - w["hi"], w["at"] - w["lo"], data[w["lo"] : w["at"]], data[w["at"] : w["hi"] + length])
+                    for w in wanted
+                ]
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list(TUPLE_COLUMNS))
 
     return run
 
 
-def _induced(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, position in its context, name) for every position of every context; the name covers the gram and the offset from
-    the anchor too."""
-    rows, places, names = [], [], []
-    contexts = _column(batch, "context")
-    gram, lo, at = (_column(batch, c).to_numpy(zero_copy_only=False) for c in ("gram", "lo", "at"))
-    for first, data, begin in chunks(contexts.cast(pa.large_binary())):
-        n = len(data)
-        h, inverse = prefix(data, PLAIN), powers(n)[1]
-        size = np.maximum(np.diff(begin) - length + 1, 0)
-        row = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        p = begin[row] + place
-        name = (h[p + length] - h[p]) * inverse[p]
-        offset = (at[first + row] - lo[first + row] - place).astype(U64)
-        rows.append(first + row)
-        places.append(place)
-        names.append(mix(name ^ mix(gram[first + row].astype(U64) + offset)))
-    return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (rows, places, names))
-
-
-def _runs(batch: pa.RecordBatch, row: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """(uid, lo, hi) of the positions given, in runs."""
-    fresh = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)])) if len(row) else np.zeros(0, dtype=np.int64)
-    last = np.concatenate([fresh[1:], [len(row)]]).astype(np.int64) - 1 if len(fresh) else fresh
-    uid, lo = (_column(batch, c).to_numpy(zero_copy_only=False) for c in ("uid", "lo"))
-    return pa.RecordBatch.from_arrays([pa.array(uid[row[fresh]]), pa.array(lo[row[fresh]] + place[fresh]), pa.array(lo[row[fresh]] + place[last])], names=["uid", "lo", "hi"])
-
-
-def _compare(length: int):
-    """Runs of repeated positions among contexts sorted by gram: a shard at a time, cut between grams."""
+def _common(right: list[bytes], group: np.ndarray) -> np.ndarray:
+    """How many bytes each context has in common with the one before it, in bytewise order; 0 where a group begins."""
+    out = np.zeros(len(right), dtype=np.int64)
+    for i in range(1, len(right)):
+        if group[i] == group[i - 1]:
+            x, y = right[i - 1], right[i]
+            n = min(len(x), len(y))
+            if x[:n] == y[:n]:
+                out[i] = n
+            else:
+                differ = np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n)
+                out[i] = int(differ.argmax())
+    return out
+
+
+def _least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The minimum of values[lo + 1 .. hi] for each pair lo < hi, from minima of stretches of doubling length."""
+    span = np.frexp((hi - lo).astype(np.float64))[1] - 1
+    out = np.empty(len(lo), dtype=values.dtype)
+    level = values
+    for k in range(int(span.max()) + 1 if len(span) else 0):
+        if k:
+            half = 1 << (k - 1)
+            level = np.minimum(level[:-half], level[half:])
+        at = np.flatnonzero(span == k)
+        out[at] = np.minimum(level[lo[at] + 1], level[hi[at] - (1 << k) + 1])
+    return out
+
+
+def _induced(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, offset before its anchor) of every repeated position, of whole groups of suffix tuples sorted by (name, right).
+
+    The order of the suffixes one byte further left is induced from the order before: by the new first byte, ties as they
+    were. Two neighbours have one byte more in common than the least common prefix that lay between them; those with
+    `length` bytes in common are repeats."""
+    name = _column(batch, "name").to_numpy(zero_copy_only=False)
+    right, left = _column(batch, "right").to_pylist(), _column(batch, "left").to_pylist()
+    first, last = (_column(batch, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "last"))
+    group = np.cumsum(np.concatenate([[0], name[1:] != name[:-1]])) if len(name) else name
+    reach = np.array([len(x) for x in left], dtype=np.int64)
+    begin = np.cumsum(reach) - reach
+    before = np.frombuffer(b"".join(left), dtype=np.uint8)
+    order, common, live = np.arange(len(name)), _common(right, group), np.ones(len(name), dtype=bool)
+    rows, offsets = [], []
+    for offset in range(int(reach.max(initial=0)) + 1):
+        if offset:
+            alive = np.flatnonzero(live & (reach[order] >= offset))
+            if len(alive) < 2:
+                break
+            byte = before[begin[order[alive]] + reach[order[alive]] - offset].astype(np.int64)
+            key = group[order[alive]] * 256 + byte
+            by = np.argsort(key, kind="stable")
+            key, at = key[by], alive[by]
+            same = np.flatnonzero(key[1:] == key[:-1]) + 1
+            shared = np.zeros(len(at), dtype=np.int64)
+            shared[same] = 1 + _least_between(common, at[same - 1], at[same])
+            order, common = order[at], shared
+        best = common.copy()
+        best[:-1] = np.maximum(best[:-1], common[1:])
+        # a match of `length` bytes at a later offset has all but the bytes in between here already
+        live = best >= length - (last[order] - offset)
+        here = order[best >= length]
+        here = here[(first[here] <= offset) & (offset <= last[here])]
+        rows.append(here)
+        offsets.append(np.full(len(here), offset, dtype=np.int64))
+    return (np.concatenate(rows), np.concatenate(offsets)) if rows else (np.zeros(0, dtype=np.int64),) * 2
+
+
+def _matched(length: int):
+    """(u, v, lo, hi): runs of repeated positions among suffix tuples sorted by (name, right), some whole groups at a time."""
 
     def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, place, name = _induced(batch, length)
-        order = np.argsort(name, kind="stable")
-        sorted_names = name[order]
-        same = sorted_names[1:] == sorted_names[:-1]
-        twice = np.zeros(len(name), dtype=bool)
-        twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(name) else False
-        keep = twice & _column(batch, "open").to_numpy(zero_copy_only=False)[row]
-        return _runs(batch, row[keep], place[keep])
+        row, offset = _induced(batch, length)
+        keep = _column(batch, "open").to_numpy(zero_copy_only=False)[row]
+        row, offset = row[keep], offset[keep]
+        at = _column(batch, "at").to_numpy(zero_copy_only=False)[row] - offset
+        by = np.lexsort((at, row))
+        row, at = row[by], at[by]
+        fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)]) if len(row) else np.zeros(0, dtype=bool)
+        lo = np.flatnonzero(fresh)
+        hi = np.concatenate([lo[1:], [len(row)]]).astype(np.int64) - 1 if len(lo) else lo
+        u, v = (_column(batch, c).to_numpy(zero_copy_only=False) for c in ("u", "v"))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (u[row[lo]], v[row[lo]], at[lo], at[hi])], names=["u", "v", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            gram = _column(batch, "gram").to_numpy(zero_copy_only=False)
-            cut = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0
-            if rows < 4_000 or cut == 0:
-                continue
-            yield shard(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]).combine_chunks().to_batches()[0])
-            held, rows = [batch.slice(cut)], batch.num_rows - cut
+            for at in range(0, batch.num_rows, SHARD):
+                part = batch.slice(at, SHARD)
+                name = _column(part, "name").to_numpy(zero_copy_only=False)
+                begins = np.flatnonzero(np.concatenate([[len(held) == 0 or _column(held[-1], "name")[-1].as_py() != name[0]], name[1:] != name[:-1]]))
+                cut = int(begins[-1]) if len(begins) else 0
+                if rows + cut >= SHARD // 2 and (cut or len(begins)):
+                    yield shard(pa.Table.from_batches([*held, part.slice(0, cut)]).combine_chunks().to_batches()[0])
+                    held, rows, part = [], 0, part.slice(cut)
+                held.append(part)
+                rows += part.num_rows
         if rows:
             yield shard(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return run
 
 
-def _named(length: int):
-    """(name, uid, position, open) for every position of contexts of hot grams."""
+def _halves(length: int):
+    """Each suffix tuple of a group too large for one task twice: for the nearer and the farther half of its offsets, under
+    the name of the bytes that all strings of that half cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                row, place, name = _induced(part, length)
-                uid, lo, is_open = (_column(part, c).to_numpy(zero_copy_only=False) for c in ("uid", "lo", "open"))
-                yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), pa.array(uid[row]), pa.array(lo[row] + place), pa.array(is_open[row])], names=["name", "uid", "p", "open"])
+            out: dict[str, list] = {c: [] for c in TUPLE_COLUMNS}
+            for row in batch.select(list(TUPLE_COLUMNS)).to_pylist():
+                whole, reach = row["left"] + row["right"], len(row["left"])
+                middle = (row["near"] + row["far"]) // 2
+                for near, far in ((row["near"], middle), (middle + 1, row["far"])):
+                    first, last = max(row["first"], near), min(row["last"], far)
+                    if first > last:
+                        continue
+                    core = whole[reach - near : reach - far + length] if reach >= near else b""
+                    key = hashlib.blake2b(core + row["name"].to_bytes(8, "little", signed=True) + near.to_bytes(4, "little"), digest_size=8).digest()
+                    new = row | {"name": int.from_bytes(key, "little", signed=True), "near": near, "far": far, "first": first, "last": last}
+                    new["left"], new["right"] = whole[max(0, reach - last) : reach], whole[reach : reach - first + length]
+                    for c in TUPLE_COLUMNS:
+                        out[c].append(new[c])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(TUPLE_COLUMNS, types)], names=list(TUPLE_COLUMNS))
 
     return run
 
 
 def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows (one for each uid) with the text: ids go out as a broadcast when there are few, so that only their texts move."""
-    ids = rows.select("uid")
+    """rows (one for each text) with the text: ids go out as a broadcast when there are few, so that only their texts move."""
+    ids = rows.select("u", "v")
     if ids.count() <= MOST_BROADCAST:
-        docs = docs.join(F.broadcast(ids), "uid", "left_semi")
-    return docs.join(rows, "uid")
+        docs = docs.join(F.broadcast(ids), ["u", "v"], "left_semi")
+    return docs.join(rows, ["u", "v"])
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """uid, lo, hi: runs of positions (of rows uid, text) whose `length` bytes also start anywhere else."""
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, held: int = HELD) -> DataFrame:
+    """u, v, lo, hi: runs of positions (of rows u, v, text) whose `length` bytes also start anywhere else."""
+    # what a group is counted by is written before it is joined: a hot key is then split by Spark's skew join
     ranges = durable(docs.mapInArrow(_ranges(length, gram), RANGES))
-    twice = ranges.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram")
+    twice = durable(ranges.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram"))
     ranges = durable(ranges.join(twice, "gram"))
 
-    equal = durable(ranges.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("uid", "lo", "hi", "at")).alias("one")))
-    whole = ranges.join(equal.filter("c > 1").select("gram", "name"), ["gram", "name"]).select("uid", "lo", "hi")
-    mixed = equal.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least")).filter("kinds > 1 and least = 1").select("gram", (F.col("kinds") > hot).alias("hot"))
-    left = durable(equal.join(mixed, "gram").select("gram", "hot", (F.col("c") == 1).alias("open"), "one.uid", "one.lo", "one.hi", "one.at"))
-
-    wanted = left.groupBy("uid").agg(F.collect_list(F.struct("gram", "lo", "hi", "at", "open")).alias("wanted"))
-    contexts = _with_text(docs, durable(wanted)).select("uid", "text", "wanted").mapInArrow(_contexts(length), CONTEXTS)
-    if mixed.filter("hot").limit(1).count():
-        contexts = durable(contexts)
-        some = mixed.filter("hot").select("gram")
-        names = contexts.join(some, "gram", "left_semi").mapInArrow(_named(length), "name long, uid long, p long, open boolean")
-        again = names.groupBy("name").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("name")
-        induced = names.filter("open").join(again, "name").select("uid", F.col("p").alias("lo"), F.col("p").alias("hi"))
-        contexts = contexts.join(some, "gram", "left_anti")
-    else:
-        induced = None
-    near = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(length), "uid long, lo long, hi long")
-    found = whole.unionByName(near)
-    return found if induced is None else found.unionByName(induced)
+    equal = durable(ranges.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("u", "v", "lo", "hi", "at")).alias("one")))
+    found = ranges.join(equal.filter("c > 1").select("gram", "name"), ["gram", "name"]).select("u", "v", "lo", "hi")
+    mixed = durable(equal.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least")).filter("kinds > 1 and least = 1").select("gram"))
+    left = equal.join(mixed, "gram").select("gram", (F.col("c") == 1).alias("open"), "one.*")
+
+    wanted = left.groupBy("u", "v").agg(F.collect_list(F.struct("gram", "lo", "hi", "at", "open")).alias("wanted"))
+    tuples = durable(_with_text(docs, durable(wanted)).select("u", "v", "text", "wanted").mapInArrow(_tuples(length, gram), TUPLES))
+    while True:
+        sizes = durable(tuples.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("wanted")).filter("n > 1 and wanted").select("name", "n"))
+        sized = durable(tuples.join(sizes, "name"))
+        # a group of one offset is known whole: its name covers all bytes of its strings
+        one = F.col("near") == F.col("far")
+        found = found.unionByName(sized.filter(one & F.col("open")).select("u", "v", (F.col("at") - F.col("near")).alias("lo"), (F.col("at") - F.col("near")).alias("hi")))
+        small = sized.filter(~one & (F.col("n") <= held)).drop("n")
+        found = found.unionByName(small.repartition("name").sortWithinPartitions("name", "right").mapInArrow(_matched(length), "u long, v long, lo long, hi long"))
+        large = sized.filter(~one & (F.col("n") > held)).drop("n")
+        if not large.limit(1).count():
+            return found
+        tuples = durable(large.mapInArrow(_halves(length), TUPLES))
 
 
 def _cut(length: int):
@@ -227,64 +293,72 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = bytes_of(_column(batch, "text"))
-            removed, runs, rest, sha = [], [], [], []
-            for i, found in enumerate(_column(batch, "found").to_pylist()):
-                own = data[at[i] : at[i + 1]].tobytes()
-                end, kept, gone, n = 0, [], 0, 0
-                start = None
-                for lo, hi in sorted((f["lo"], f["hi"] + length) for f in found):
-                    if start is None or lo > end:
-                        if start is not None:
-                            gone, n = gone + end - start, n + 1
-                        kept.append(own[end:lo])
-                        start = lo
-                    end = max(end, hi)
-                if start is not None:
-                    gone, n = gone + end - start, n + 1
-                left = b"".join(kept) + own[end:]
-                removed.append(gone)
-                runs.append(n)
-                rest.append(left)
-                sha.append(hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [_column(batch, "uid"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(rest, pa.binary()), pa.array(sha, pa.string())], names=["uid", "removed", "spans", "rest", "sha"]
-            )
+            rest, sha = [], []
+            for i, found in enumerate(_column(batch, "gone").to_pylist()):
+                own, end, kept = data[at[i] : at[i + 1]].tobytes(), 0, []
+                for span in found:
+                    kept.append(own[end : span["lo"]])
+                    end = span["hi"]
+                rest.append(b"".join(kept) + own[end:])
+                sha.append(hashlib.sha256(rest[-1]).hexdigest())
+            counts = [_column(batch, c) for c in ("u", "v", "removed", "spans")]
+            yield pa.RecordBatch.from_arrays([*counts, pa.array(rest, pa.binary()), pa.array(sha, pa.string())], names=["u", "v", "removed", "spans", "rest", "sha"])
 
     return run
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumn("__uid", F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit(""))))
+    """A column of its own that names a row by key and text, by 64 bits each: equal rows are one text, which occurs as often."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumn(OWN, F.struct(F.xxhash64(F.lit(0), F.col(key)).alias("u"), F.xxhash64(F.col(key).isNull(), whole).alias("v")))
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """uid, removed, spans, rest (bytes), sha for each text that loses bytes, by the uid of `_identified`."""
-    rows = _identified(docs, key, text).select(F.col("__uid").alias("uid"), F.col(text).alias("text"))
-    found = repeated(rows, length, gram, hot)
-    grouped = durable(found.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("found")))
-    texts = _with_text(rows.filter(F.octet_length("text") >= length), grouped).select("uid", "text", "found").dropDuplicates(["uid"])
-    return texts.mapInArrow(_cut(length), "uid long, removed long, spans long, rest binary, sha string")
+def covered(docs: DataFrame, length: int, gram: int, held: int = HELD) -> DataFrame:
+    """u, v, gone: array of (lo, hi), the bytes covered by repeats, in order and apart; with removed and spans, their sums."""
+    found = repeated(docs, length, gram, held).select("u", "v", F.struct("lo", (F.col("hi") + length).alias("hi")).alias("s"))
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    wider = lambda acc, x: F.array(F.struct(last(acc)["lo"].alias("lo"), F.greatest(last(acc)["hi"], x["hi"]).alias("hi")))
+    joined = lambda acc, x: F.when((F.size(acc) > 0) & (x["lo"] <= last(acc)["hi"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), wider(acc, x))).otherwise(F.concat(acc, F.array(x)))
+    merged = F.aggregate(F.array_sort(F.collect_set("s")), F.array().cast("array<struct<lo:bigint,hi:bigint>>"), joined)
+    out = found.groupBy("u", "v").agg(merged.alias("gone"))
+    return out.select("u", "v", "gone", F.aggregate("gone", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"]).alias("removed"), F.size("gone").cast("long").alias("spans"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return _identified(docs, key, text).select(f"{OWN}.u", f"{OWN}.v", F.col(text).alias("text"))
+
+
+def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, held: int = HELD) -> DataFrame:
+    """u, v, removed, spans, rest (bytes), sha for each text of rows (u, v, text) that loses bytes."""
+    gone = durable(covered(rows, length, gram, held))
+    texts = _with_text(rows.filter(F.octet_length("text") >= length), gone).select("u", "v", "text", "gone", "removed", "spans").dropDuplicates(["u", "v"])
+    return texts.mapInArrow(_cut(length), "u long, v long, removed long, spans long, rest binary, sha string")
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, held: int = HELD) -> DataFrame:
     """docs with repeated bytes cut from `text`; bytes of a character cut in half are dropped with it."""
-    cut = durable(spans(docs, key, text, length, gram).select(F.col("uid").alias("__uid"), "rest"))
-    out = _identified(docs, key, text).join(cut, "__uid", "left")
+    cut = durable(spans(_rows(docs, key, text), length, gram, held).select(F.struct("u", "v").alias(OWN), F.col("rest").alias(REST)))
+    out = _identified(docs, key, text).join(cut, OWN, "left")
     # make_valid puts U+FFFD where a character was cut
-    clean = F.regexp_replace(F.expr("make_valid_utf8(cast(rest as string))"), "�", "")
-    return out.withColumn(text, F.when(F.col("rest").isNull(), F.col(text)).otherwise(clean)).drop("__uid", "rest")
+    clean = F.regexp_replace(F.expr(f"make_valid_utf8(cast(`{REST}` as string))"), "\ufffd", "")
+    return out.withColumn(text, F.when(F.col(REST).isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """passage_bytes: bytes covered by repeats of PASSAGE bytes. LENGTH, which the contract fixes, is longer than most passages
+    of fifty words, so that these show there only. A text without passages has no longer repeats either."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = spans(docs).drop("rest")
+    rows = _rows(docs, "doc_id", "text")
+    passages = durable(covered(rows, PASSAGE, PASSAGE_GRAM).select("u", "v", F.col("removed").alias("passage_bytes")))
+    cut = durable(spans(rows.join(passages, ["u", "v"], "left_semi")).drop("rest"))
     t = F.coalesce("text", F.lit(""))
-    rows = _identified(docs, "doc_id", "text").select(F.col("__uid").alias("uid"), "doc_id", F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("own"))
-    out = rows.join(cut, "uid", "left")
+    own = _identified(docs, "doc_id", "text").select(f"{OWN}.*", "doc_id", F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("own"))
+    out = own.join(passages, ["u", "v"], "left").join(cut, ["u", "v"], "left")
     return out.select(
         "doc_id",
         "n_bytes",
         F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("sha", "own").alias("kept_sha256"),
+        F.coalesce("passage_bytes", F.lit(0)).cast("long").alias("passage_bytes"),
     )

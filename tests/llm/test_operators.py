@@ -122,22 +122,41 @@ def brute_cut(docs, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 10_000])
-def test_suffix_dedup_equals_brute_force(spark, odd_docs, no_docs, hot):
+@pytest.mark.parametrize("held", [0, 1, 4096])
+def test_suffix_dedup_equals_brute_force(spark, odd_docs, no_docs, held):
+    """held: groups above it are named anew, so 0 and 1 take the recursion to its end."""
     length = 60
-    uid = {(r["doc_id"], r["text"]): r["__uid"] for r in suffix_dedup._identified(odd_docs, "doc_id", "text").collect()}
-    got = {r["uid"]: (bytes(r["rest"]), r["sha"], r["removed"]) for r in suffix_dedup.spans(odd_docs, length=length, gram=20, hot=hot).collect()}
+    uid = {(r["doc_id"], r["text"]): (r[0]["u"], r[0]["v"]) for r in suffix_dedup._identified(odd_docs, "doc_id", "text").select(F.col(f"`{suffix_dedup.OWN}`"), "doc_id", "text").collect()}
+    got = {(r["u"], r["v"]): (bytes(r["rest"]), r["sha"], r["removed"]) for r in suffix_dedup.spans(suffix_dedup._rows(odd_docs, "doc_id", "text"), length=length, gram=20, held=held).collect()}
     want = brute_cut(rows_of(odd_docs), length)
     for (key, text), rest in want.items():
         data = (text or "").encode()
         found = got.get(uid[key, text], (data, hashlib.sha256(data).hexdigest(), 0))
         assert found == (rest, hashlib.sha256(rest).hexdigest(), len(data) - len(rest))
-    if hot:
-        cut = suffix_dedup.dedup(odd_docs.withColumn("was", F.col("text")), length=length, gram=20).collect()
-        assert all(r["text"] == (None if r["was"] is None else want[r["doc_id"], r["was"]].decode(errors="ignore")) for r in cut)
+    if held:
+        clash = odd_docs.withColumns({"was": F.col("text"), "rest": F.lit(1), "u": F.lit(2), "lo": F.lit(3)})
+        cut = suffix_dedup.dedup(clash, length=length, gram=20, held=held)
+        assert cut.columns == clash.columns
+        assert all(r["text"] == (None if r["was"] is None else want[r["doc_id"], r["was"]].decode(errors="ignore")) for r in cut.collect())
         assert suffix_dedup.dedup(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("held", [8, 4096])
+def test_suffix_dedup_of_alike_texts(spark, held):
+    """Many texts that share a passage, whole or in part, at different distances: many tuples of one gram."""
+    import random
+
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    rows = [(i, letters(rng.randint(0, 40)) + passage[rng.randint(0, 30) : 90 - rng.randint(0, 30)] + letters(rng.randint(0, 40))) for i in range(120)]
+    rows += [(500 + i, passage[:50] + letters(3) + passage[50:]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_cut(rows, 60)
+    got = suffix_dedup.dedup(docs.withColumn("was", F.col("text")), length=60, gram=20, held=held).collect()
+    assert {(r["doc_id"], r["was"]): r["text"] for r in got} == {k: v.decode() for k, v in want.items()}
+
+
 # --- packing
 
 
