@@ -46,8 +46,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of repeated 400-byte strings are cut from the texts; every document stays."""
-    return _counted(suffix_dedup.dedup(docs), docs.columns)
+    """Bytes of repeated strings of PASSAGE bytes, as long as the shortest passages of fifty words, are cut from the texts; every
+    document stays."""
+    return _counted(suffix_dedup.dedup(docs, length=suffix_dedup.PASSAGE, gram=suffix_dedup.PASSAGE_GRAM), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
