@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -52,15 +54,32 @@ def default(field: str) -> str:
     return "0" if field in BINARY else "N" if field == "ca_fact" else NOT_FOUND
 
 
-def check_value(field: str, value: Column) -> Column:
+# What a field's value must look like, as one pattern a field; fields of free text have none.
+PATTERNS = {**{f: "|".join(codes) for f, codes in ENUMS.items()}, **FORMATS}
+
+
+def _table(entries: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+
+
+def check(field: Column, value: Column) -> Column:
     """The code of what is wrong with a field's value, or null. A null value is not a string."""
-    code = F.when(value.isNull(), "not_string")
-    code = code.when(value == NOT_FOUND, F.lit("not_found_for_binary" if field in FORBIDS_NOT_FOUND else None).cast("string"))
-    if field in ENUMS:
-        code = code.when(~value.isin(*ENUMS[field]), "not_in_enum")
-    if field in FORMATS:
-        code = code.when(~value.rlike(f"^(?U:{FORMATS[field]})\\z"), "bad_format")
-    return code.otherwise(F.lit(None).cast("string"))
+    pattern = F.concat(F.lit("^(?U:"), F.try_element_at(_table(PATTERNS), field), F.lit(")\\z"))
+    wrong = F.when(field.isin(*ENUMS), "not_in_enum").otherwise("bad_format")
+    absent = F.when(field.isin(*FORBIDS_NOT_FOUND), "not_found_for_binary")
+    return F.when(value.isNull(), "not_string").when(value == NOT_FOUND, absent).when(~F.rlike(value, pattern), wrong)
+
+
+def check_value(field: str, value: Column) -> Column:
+    return check(F.lit(field), value)
+
+
+def problem(field: str, value: str) -> str | None:
+    """`check` for one value outside Spark."""
+    if value == NOT_FOUND:
+        return "not_found_for_binary" if field in FORBIDS_NOT_FOUND else None
+    fits = field not in PATTERNS or re.fullmatch(PATTERNS[field], value)
+    return None if fits else "not_in_enum" if field in ENUMS else "bad_format"
 
 
 def nest(flat: Column) -> Column:
@@ -84,13 +103,10 @@ def violations(result: Column) -> Column:
     ]
     for group, fields in GROUPS.items():
         values = F.try_element_at(result, F.lit(group))
-        keys, wanted = F.map_keys(values), F.array(*[F.lit(f) for f in fields])
-        checks = F.array(*[F.when(F.map_contains_key(values, F.lit(f)), F.concat(check_value(f, F.try_element_at(values, F.lit(f))), F.lit(f":{f}"))) for f in fields])
-        wrong = F.concat(
-            F.transform(F.array_except(wanted, keys), lambda k: F.concat(F.lit("missing_key:"), k)),
-            F.transform(F.array_except(keys, wanted), lambda k: F.concat(F.lit("extra_key:"), k)),
-            F.filter(checks, lambda c: c.isNotNull()),
-        )
-        group_null = F.array(F.lit(f"group_not_object:{group}"))
-        out.append(F.when(~F.map_contains_key(result, F.lit(group)), F.array().cast("array<string>")).when(values.isNull(), group_null).otherwise(wrong))
+        wanted = F.array(*[F.lit(f) for f in fields])
+        tagged = lambda code, names: F.transform(names, lambda k: F.concat(F.lit(code), k))
+        bad = F.transform(F.array_intersect(wanted, F.map_keys(values)), lambda f: F.concat(check(f, F.try_element_at(values, f)), F.lit(":"), f))
+        wrong = F.concat(tagged("missing_key:", F.array_except(wanted, F.map_keys(values))), tagged("extra_key:", F.array_except(F.map_keys(values), wanted)), F.filter(bad, lambda c: c.isNotNull()))
+        no_group = F.array(F.lit(f"group_not_object:{group}"))
+        out.append(F.when(~F.map_contains_key(result, F.lit(group)), F.array().cast("array<string>")).when(values.isNull(), no_group).otherwise(wrong))
     return F.when(result.isNull(), F.array(F.lit("root_not_object"))).otherwise(F.concat(*out))

@@ -1,25 +1,58 @@
-"""Text search as expressions: matches with offsets, sentences and clauses, negation, first match in a chain of scopes.
+"""Text search as expressions: terms, rules over pieces of text, hits with offsets, sentences and clauses, negation.
 
-A scope is an array of pieces, struct(t: text, at: its offset in the document). Offsets count code points. Patterns are Java's,
-case-insensitive and Unicode-aware unless said otherwise. Two private-use characters mark matches; `clean` takes them out of
-texts beforehand.
+A piece is struct(kind, t: text, low: the text in lower case, at: its offset in the document). A rule is one pattern and the
+kinds of pieces it is looked for in, the preferred first; `scan` runs all rules over all pieces of a row and gives an array of
+hits. A pattern runs only over pieces of its kinds in which one of its words occurs. Offsets count code points. Private-use
+characters mark matches; `clean` takes them out of texts beforehand.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "", ""
-MARKS = f"[{OPEN}{CLOSE}]"
+OPEN, CLOSE, END, GROUP = "", "", "", ""
+MARKS = f"[{OPEN}{CLOSE}{END}]"
+LOOK_BACK = 400
+
+
+def term(words: str, gap: str = r"\s+") -> str:
+    """A pattern for a term: `*` stands for any ending, `_` for the edge of a word, a blank for white space; abbreviations in
+    capitals are whole words; `=` in front asks for the case as it is written; ё is also е."""
+    exact, parts = words.startswith("="), []
+    for word in words.removeprefix("=").split(" "):
+        core = word.strip("_*")
+        whole = core.isupper() and len(core) > 1 and "_" not in word
+        body = "[её]".join(map(re.escape, core.split("ё")))
+        head = r"\b" if whole or word.startswith("_") else ""
+        tail = r"\w*" if word.endswith("*") else r"\b" if whole or word.endswith("_") else ""
+        parts.append(head + body + tail)
+    found = gap.join(parts)
+    return f"(?-i:{found})" if exact else found
+
+
+def any_of(*terms: str, gap: str = r"\s+") -> str:
+    return "(?:" + "|".join(term(t, gap) for t in terms) + ")"
 
-# Where sentences and clauses end, and what negates a clause.
-SENTENCE_END = r"[;\n]|(?<!\d)\.(?!\d)(?!\s*ст\.)|\.(?=\s)(?!\s*ст\.)"
+
+def words_of(*terms: str) -> tuple[str, ...]:
+    """What must occur in lower case wherever one of the terms does: the longest plain stretch of each."""
+    longest = lambda t: max(re.split(r"[\s*_=ё]+", t.lower()), key=len)
+    return tuple(dict.fromkeys(map(longest, terms)))
+
+
+# What negates a clause.
+NEGATIONS = ("_нет_", "_не_", "_без_", "_отрица*", "_отсутств*", "_исключ*")
+# A full stop ends a sentence before a blank or away from digits, and never before a degree ("ст.").
+SENTENCE_END = r"[;\n]|\.(?!\s*ст\.)(?:(?=\s)|(?<!\d\.)(?!\d))"
 CLAUSE_END = rf"{SENTENCE_END}|,"
-NEGATION = r"(?<![\w-])(?:нет|не|без|отрица\w*|отсутств\w*|исключ\w*)(?![\w-])"
-LOOK_BACK = 400
+NEGATION = rf"(?<!-){any_of(*NEGATIONS)}(?![\w-])"
 
 
 def ci(pattern: str) -> str:
@@ -41,7 +74,8 @@ def head(items: Column, keep: Callable[[Column], Column] | None = None) -> Colum
 
 
 def clean(text: Column) -> Column:
-    return F.translate(text, OPEN + CLOSE, "��")
+    marks = OPEN + CLOSE + END + GROUP
+    return F.translate(text, marks, "�" * len(marks))
 
 
 def some(items: Column) -> Column:
@@ -56,101 +90,132 @@ def before(text: Column, n: Column) -> Column:
     return F.substring(text, F.lit(1), n)
 
 
-def marked(text: Column, pattern: str | Column, replacement: str = f"{OPEN}$0{CLOSE}") -> Column:
-    """(m, s) for each stretch that the replacement marks: the text of it and its offset."""
+def has_any(low: Column, words: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(low, F.lit(w)) for w in words])
+
+
+def marked(text: Column, pattern: str | Column, replacement: str = f"{OPEN}$0{CLOSE}{END}") -> Column:
+    """(m, s, g) for each stretch that the replacement marks: its text, its offset, and the groups that follow it."""
 
     def collect(parts: Column) -> Column:
-        at = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
-        odd = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("m"), i.alias("s"))), lambda x: x["s"] % 2 == 1)
-        return F.transform(odd, lambda x: F.struct(x["m"].alias("m"), at(x["s"]).alias("s")))
+        # parts are what lies between matches, a match, its groups, and so on
+        sizes = F.transform(parts, lambda x, i: F.when(i % 3 == 2, 0).otherwise(F.length(x)))
+        odd = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("m"), i.alias("s"))), lambda x: x["s"] % 3 == 1)
+        at = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda n, x: n + x)
+        return F.transform(odd, lambda x: F.struct(x["m"].alias("m"), at(x["s"]).alias("s"), F.split(F.get(parts, x["s"] + 1), GROUP).alias("g")))
 
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     return let(F.split(F.regexp_replace(text, pattern, F.lit(replacement)), MARKS), collect)
 
 
-def finding(value: Column, text: Column, start: Column) -> Column:
-    """A finding whose evidence is `text` at `start`, blanks at both ends taken off; null where the value is."""
-    left = F.length(text) - F.length(F.regexp_replace(text, r"(?U)^\s+", ""))
-    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
-    made = F.struct(value.alias("value"), trimmed.alias("evidence"), (start + left).cast("int").alias("start"), (start + left + F.length(trimmed)).cast("int").alias("end"), F.lit("rule").alias("source"))
-    return F.when(value.isNotNull() & text.isNotNull(), made)
-
-
-def pieces(sections: Column, kinds: tuple[str, ...] | None = None, but: tuple[str, ...] = ()) -> Column:
-    """The bodies of sections of these kinds, or of all but some."""
-    wanted = (lambda s: s["kind"].isin(*kinds)) if kinds is not None else (lambda s: ~s["kind"].isin(*but)) if but else (lambda s: F.lit(True))
-    return F.transform(F.filter(sections, wanted), lambda s: F.struct(s["body"].alias("t"), s["body_start"].alias("at")))
+@dataclass(frozen=True)
+class Rule:
+    """A pattern (its groups are values) and the kinds of pieces it runs over, in order of preference; `words` as in words_of
+    (none: always tried); every: all matches of a piece, not only the first."""
 
+    name: str
+    pattern: str
+    scopes: tuple[tuple[str, ...], ...]
+    words: tuple[str, ...] = ()
+    every: bool = False
+    exact: bool = False
 
-def sentences(scope: Column) -> Column:
-    """The sentences of all pieces, as pieces. A separator is one character, so offsets are running sums."""
+    @property
+    def groups(self) -> int:
+        return re.compile(self.pattern.replace(r"\z", r"\Z").replace("(?-i:", "(?:")).groups
 
-    def of(p: Column) -> Column:
-        def placed(parts: Column) -> Column:
-            return F.transform(parts, lambda x, i: F.struct(x.alias("t"), (p["at"] + i + F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, y: n + F.length(y))).alias("at")))
 
-        return let(F.split(p["t"], cs(SENTENCE_END)), placed)
+HIT = "struct<rule:int,prio:int,at:int,m:string,s:int,g:array<string>,t:string,base:int>"
 
-    return F.filter(F.flatten(F.transform(scope, of)), lambda p: p["t"].rlike(r"(?U)\S"))
 
+def scan(pieces: Column, rules: tuple[Rule, ...]) -> Column:
+    """array of hits (rule: its number, prio, at, m, s, g, t: the piece's text, base: its offset), sorted by rule, preference
+    and place."""
 
-def bounds(p: Column, m: Column, s: Column, end: str) -> Column:
-    """struct(t, at): what of the piece encloses the match m at s, between separators."""
-    lo = F.greatest(F.lit(0), s - LOOK_BACK)
+    def tried(p: Column) -> Column:
+        made = []
+        for number, rule in enumerate(rules):
+            prio, seen = None, set()
+            for n, kinds in enumerate(rule.scopes):
+                fresh = [k for k in kinds if k not in seen]
+                seen.update(fresh)
+                if fresh:
+                    prio = F.when(p["kind"].isin(fresh), n) if prio is None else prio.when(p["kind"].isin(fresh), n)
+            values = GROUP.join(f"${g + 2}" for g in range(rule.groups))
+            flags = cs if rule.exact else ci
+            pattern = flags(f"({rule.pattern})" if rule.every else f"({rule.pattern})(?s:.*)")
+            marks = F.regexp_replace(p["t"], F.lit(pattern), F.lit(f"{OPEN}$1{CLOSE}{values}{END}"))
+            tries = p["kind"].isin(list(seen))
+            if rule.words:
+                tries = tries & has_any(p["low"], rule.words)
+            made.append(F.when(tries, F.struct(F.lit(number).alias("rule"), prio.alias("prio"), marks.alias("marks"), p["t"].alias("t"), p["at"].alias("base"))))
+        return F.filter(F.array(*made), lambda x: F.contains(x["marks"], F.lit(OPEN)))
 
-    def make(left: Column) -> Column:
-        # one character of the match stays in sight for look-behinds
-        tail = after(p["t"], s + F.length(m) - 1)
-        right = F.regexp_extract(tail, f"(?s)^.(.*?)(?:{cs(end)}|\\z)", 1)
-        return F.struct(F.concat(left, m, right).alias("t"), (s - F.length(left)).alias("s"))
+    def found(x: Column) -> Column:
+        def collect(parts: Column) -> Column:
+            sizes = F.transform(parts, lambda y, i: F.when(i % 3 == 2, 0).otherwise(F.length(y)))
+            at = lambda i: F.aggregate(F.slice(sizes, F.lit(1), 3 * i + 1), F.lit(0), lambda n, y: n + y)
+            numbers = F.sequence(F.lit(0), F.floor(F.size(parts) / 3).cast("int") - 1)
+            return F.transform(
+                numbers,
+                lambda i: F.struct(
+                    x["rule"].alias("rule"), x["prio"].alias("prio"), (x["base"] + at(i)).cast("int").alias("at"), F.get(parts, 3 * i + 1).alias("m"), at(i).cast("int").alias("s"),
+                    F.split(F.get(parts, 3 * i + 2), GROUP).alias("g"), x["t"].alias("t"), x["base"].cast("int").alias("base"),
+                ),
+            )
 
-    return let(F.element_at(F.split(F.substring(p["t"], lo + 1, s - lo), cs(end)), -1), make)
+        return let(F.split(x["marks"], MARKS), collect)
 
+    return F.array_sort(F.flatten(F.transform(F.flatten(F.transform(pieces, tried)), found)))
 
-def negated(p: Column, m: Column, s: Column) -> Column:
-    """Whether the clause around a match holds a negation, before or after it."""
-    own = F.concat(before(m, F.lit(1)), F.regexp_replace(after(m, F.lit(1)), r"[.;,]+\z", ""))
-    return let(own, lambda x: bounds(p, x, s, CLAUSE_END)["t"].rlike(ci(NEGATION)))
 
+def pieces(sections: Column) -> Column:
+    """The bodies of sections, as pieces."""
+    return F.transform(sections, lambda s: F.struct(s["kind"].alias("kind"), s["body"].alias("t"), F.lower(s["body"]).alias("low"), s["body_start"].alias("at")))
 
-def hits(scope: Column, pattern: str) -> Column:
-    """All matches in order: struct(p: piece, m: text, s: offset in the piece)."""
-    of = lambda p: F.when(p["t"].rlike(pattern), F.transform(marked(p["t"], pattern), lambda x: F.struct(p.alias("p"), x["m"].alias("m"), x["s"].alias("s"))))
-    return F.flatten(some(F.transform(scope, of)))
 
+def sentences(scope: Column, kind: str) -> Column:
+    """The sentences of all pieces, as pieces of a kind of their own. A separator is one character."""
 
-def affirmed(scope: Column, pattern: str) -> Column:
-    """The first match that its clause does not negate."""
-    return head(hits(scope, pattern), lambda h: ~negated(h["p"], h["m"], h["s"]))
+    def of(p: Column) -> Column:
+        def placed(parts: Column) -> Column:
+            start = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, y: n + F.length(y) + 1)
+            seen = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: x["t"].rlike(r"(?U)\S"))
+            return F.transform(seen, lambda x: F.struct(F.lit(kind).alias("kind"), x["t"].alias("t"), F.lower(x["t"]).alias("low"), (p["at"] + start(x["i"])).cast("int").alias("at")))
 
+        return let(F.split(p["t"], cs(SENTENCE_END)), placed)
 
-def first(pattern: str, *scopes: Column, groups: int = 0) -> Column:
-    """The first match in the first scope with any: struct(p, m, s, g1.., gn)."""
+    return F.flatten(F.transform(scope, of))
 
-    def of(p: Column) -> Column:
-        parts = [p.alias("p"), F.regexp_extract(p["t"], pattern, 0).alias("m"), F.length(F.regexp_extract(p["t"], f"(?s)^(.*?)(?:{pattern})", 1)).alias("s")]
-        return F.when(p["t"].rlike(pattern), F.struct(*parts, *[F.regexp_extract(p["t"], pattern, g).alias(f"g{g}") for g in range(1, groups + 1)]))
 
-    found = [head(F.transform(F.slice(F.filter(scope, lambda p: p["t"].rlike(pattern)), F.lit(1), F.lit(1)), of)) for scope in scopes]
-    return F.coalesce(*found) if len(found) > 1 else found[0]
+def left_of(h: Column, end: str) -> Column:
+    """What of the sentence or clause stands before a hit."""
+    lo = F.greatest(F.lit(0), h["s"] - LOOK_BACK)
+    return F.element_at(F.split(F.substring(h["t"], lo + 1, h["s"] - lo), cs(end)), -1)
 
 
-def at(hit: Column) -> Column:
-    return hit["p"]["at"] + hit["s"]
+def right_of(h: Column, size: Column, end: str) -> Column:
+    """What of the sentence or clause stands after the first `size` characters of a hit. One of them stays in sight of what
+    looks behind."""
+    return F.regexp_extract(after(h["t"], h["s"] + size - 1), f"(?s)^.(.*?)(?:{cs(end)}|\\z)", 1)
 
 
-def whole(value: Column, hit: Column) -> Column:
-    """A finding whose evidence is the whole match."""
-    return finding(value, hit["m"], at(hit))
+def negated(h: Column, core: Column) -> Column:
+    """Whether the clause around a hit (its `core`) holds a negation, before or after it."""
+    own = F.concat(before(core, F.lit(1)), F.regexp_replace(after(core, F.lit(1)), r"[.;,]+\z", ""))
+    return let(own, lambda x: F.concat(left_of(h, CLAUSE_END), x, right_of(h, F.length(x), CLAUSE_END)).rlike(ci(NEGATION)))
 
 
-def binary(pattern: str, *scopes: Column) -> Column:
-    """1 for the first match that is not negated, else 0 with the clause of the first that is, else null."""
+def raw_finding(field: str, value: Column, text: Column, start: Column) -> Column:
+    """A finding before its evidence is trimmed; its value may be null."""
+    return F.struct(F.lit(field).alias("field"), value.alias("value"), text.alias("text"), start.cast("int").alias("start"))
 
-    def decide(found: Column) -> Column:
-        yes = head(found, lambda h: ~negated(h["p"], h["m"], h["s"]))
-        no = head(found)
-        clause = bounds(no["p"], no["m"], no["s"], CLAUSE_END)
-        return F.coalesce(F.when(yes.isNotNull(), whole(F.lit("1"), yes)), F.when(no.isNotNull(), finding(F.lit("0"), clause["t"], no["p"]["at"] + clause["s"])))
 
-    return let(hits(F.concat(*scopes) if len(scopes) > 1 else scopes[0], pattern), decide)
+def trimmed(x: Column) -> Column:
+    """A raw finding with evidence that has no blanks at either end."""
+    bare = F.regexp_replace(x["text"], r"(?U)^\s+", "")
+    start = x["start"] + F.length(x["text"]) - F.length(bare)
+    return let(
+        F.struct(F.regexp_replace(bare, r"(?U)\s+\z", "").alias("e"), start.alias("s")),
+        lambda y: F.struct(x["field"].alias("field"), x["value"].alias("value"), y["e"].alias("evidence"), y["s"].cast("int").alias("start"), (y["s"] + F.length(y["e"])).cast("int").alias("end"), F.lit("rule").alias("source")),
+    )

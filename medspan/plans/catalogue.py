@@ -35,9 +35,9 @@ def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail addresses masked by span, union and splice."""
-    pattern = next(p for p in deid.PATTERNS if p[0] == "email")
+    kind = next(k for k in deid.KINDS if k.name == "email")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = docs.withColumn("spans", deid.merge(deid._spans(F.col("text"), *pattern)))
+    spans = docs.withColumn("spans", deid.merge(deid.spans_of(F.col("text"), F.lower("text"), kind)))
     masked = spans.withColumn("m", deid.mask(F.col("text"), F.col("spans")))
     return masked.select("doc_id", F.size("m.spans").cast("long").alias("n_spans"), F.sha2("m.text", 256).alias("masked_sha256"))
 
@@ -45,7 +45,7 @@ def mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pii_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of each self-contained kind of personal data in all texts."""
     docs = _table(spark, sf_dir, "documents")
-    kinds = {p[0]: p[2] for p in deid.PATTERNS if p[0] in ("email", "phone", "snils")}
+    kinds = {k.name: k.core for k in deid.KINDS if k.name in ("email", "phone", "snils")}
     counts = [F.sum(F.size(marked(F.col("text"), cs(p)))).alias(k) for k, p in kinds.items()]
     return docs.agg(*counts).select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*kinds))).alias("kind", "n"))
 
