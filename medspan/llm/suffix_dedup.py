@@ -12,9 +12,9 @@ queue, and suffix tuples that carry their bytes and common-prefix values:
    after the anchor, bytes before it), sorted by Spark. Neighbours' common-prefix values are counted on the bytes; then the
    order and the common prefixes of the suffixes one byte further left are induced from those before, offset by offset.
    Positions with LENGTH bytes in common with a neighbour repeat.
-4. Recursion. A group of more than HELD tuples never comes into one task: its tuples are named anew, for the nearer and the
-   farther half of the offsets, by the bytes that all strings of the half cover, and the groups of the new names are treated
-   alike. After nine rounds at most a name covers whole strings. The result does not depend on HELD.
+4. Recursion. A gram with more than HELD ranges that differ never comes into one task: its positions are named anew, each by
+   all bytes of its string, and counted by Spark. After that a name covers a whole string, so one round is enough. The result
+   does not depend on HELD.
 
 Only agreement over LENGTH bytes is asked for, so suffixes are sorted as far as that. Names of ranges are 64-bit hashes compared within a
 64-bit gram hash; rows are told apart by 128 bits of key and text. Matches never cross documents.
@@ -40,7 +40,7 @@ from medspan.llm.hashing import PLAIN, U64, bytes_of, chunks, mix, powers, prefi
 LENGTH, GRAM = 400, 128
 # the shortest repeat that fifty words make, and its gram
 PASSAGE, PASSAGE_GRAM = 200, 48
-HELD, SHARD, MOST_BROADCAST = 4096, 4096, 200_000
+HELD, SHARD, MOST_BROADCAST = 32_768, 4096, 200_000
 OWN, REST = "suffix dedup: row", "suffix dedup: rest"
 
 
@@ -97,26 +97,31 @@ def _ranges(length: int, gram: int):
 
 
 RANGES = "gram long, u long, v long, lo long, hi long, at long, name long"
-TUPLES = "name long, u long, v long, at long, open boolean, near long, far long, first long, last long, left binary, right binary"
-TUPLE_COLUMNS = tuple(c.split()[0] for c in TUPLES.split(", "))
+TUPLES = "name long, u long, v long, at long, open boolean, first long, last long, left binary, right binary"
 
 
-def _tuples(length: int, gram: int):
-    """The suffix tuple of each wanted range of a text: the bytes before and after its anchor that its strings cover, and which
-    offsets before the anchor its positions have."""
+def _tuples(length: int):
+    """The suffix tuple of each wanted range of a text: its gram as name, the bytes before and after its anchor that its strings
+    cover, and which offsets before the anchor its positions have."""
+    columns = [c.split()[0] for c in TUPLES.split(", ")]
+    types = (*[pa.int64()] * 4, pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = _column(batch, "u").to_pylist(), _column(batch, "v").to_pylist()
             texts = _column(batch, "text")
+            rows, size = [], 0
             for i, wanted in enumerate(_column(batch, "wanted").to_pylist()):
                 data = (texts[i].as_py() or "").encode()
-                rows = [
-                    (w["gram"], u[i], v[i], w["at"], w["open"], 0, length - gram, w["at"] - w["hi"], w["at"] - w["lo"], data[w["lo"] : w["at"]], data[w["at"] : w["hi"] + length])
-                    for w in wanted
-                ]
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list(TUPLE_COLUMNS))
+                for w in wanted:
+                    lo, hi, at = w["lo"], w["hi"], w["at"]
+                    rows.append((w["gram"], u[i], v[i], at, w["open"], at - hi, at - lo, data[lo:at], data[at : hi + length]))
+                    size += hi + length - lo
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=columns)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=columns)
 
     return run
 
@@ -225,38 +230,40 @@ def _matched(length: int):
     return run
 
 
-def _halves(length: int):
-    """Each suffix tuple of a group too large for one task twice: for the nearer and the farther half of its offsets, under
-    the name of the bytes that all strings of that half cover."""
+def _positions(length: int):
+    """(gram, name, u, v, p, open) for every position of suffix tuples, named by all bytes of its string and its offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in TUPLE_COLUMNS}
-            for row in batch.select(list(TUPLE_COLUMNS)).to_pylist():
-                whole, reach = row["left"] + row["right"], len(row["left"])
-                middle = (row["near"] + row["far"]) // 2
-                for near, far in ((row["near"], middle), (middle + 1, row["far"])):
-                    first, last = max(row["first"], near), min(row["last"], far)
-                    if first > last:
-                        continue
-                    core = whole[reach - near : reach - far + length] if reach >= near else b""
-                    key = hashlib.blake2b(core + row["name"].to_bytes(8, "little", signed=True) + near.to_bytes(4, "little"), digest_size=8).digest()
-                    new = row | {"name": int.from_bytes(key, "little", signed=True), "near": near, "far": far, "first": first, "last": last}
-                    new["left"], new["right"] = whole[max(0, reach - last) : reach], whole[reach : reach - first + length]
-                    for c in TUPLE_COLUMNS:
-                        out[c].append(new[c])
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(TUPLE_COLUMNS, types)], names=list(TUPLE_COLUMNS))
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                left, right = _column(part, "left").to_pylist(), _column(part, "right").to_pylist()
+                at = _column(part, "at").to_numpy(zero_copy_only=False)
+                texts = pa.array([x + y for x, y in zip(left, right)], pa.large_binary())
+                reach = np.array([len(x) for x in left], dtype=np.int64)
+                for first, data, starts in chunks(texts):
+                    h, inverse = prefix(data, PLAIN), powers(len(data))[1]
+                    size = np.maximum(np.diff(starts) - length + 1, 0)
+                    row = np.repeat(np.arange(len(size)), size)
+                    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                    p = starts[row] + place
+                    row += first
+                    name = mix((h[p + length] - h[p]) * inverse[p] ^ mix((reach[row] - place).astype(U64)))
+                    own = [_column(part, c).take(pa.array(row)) for c in ("name", "u", "v", "open")]
+                    yield pa.RecordBatch.from_arrays([own[0], pa.array(name.astype(np.int64)), own[1], own[2], pa.array(at[row] - reach[row] + place), own[3]], names=["gram", "name", "u", "v", "p", "open"])
 
     return run
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts that ids (u, v, once each) name; ids go out as a broadcast when there are few, so that no other text moves."""
+    ids = ids.select("u", "v")
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, ["u", "v"], "left_semi")
+
+
 def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows (one for each text) with the text: ids go out as a broadcast when there are few, so that only their texts move."""
-    ids = rows.select("u", "v")
-    if ids.count() <= MOST_BROADCAST:
-        docs = docs.join(F.broadcast(ids), ["u", "v"], "left_semi")
-    return docs.join(rows, ["u", "v"])
+    """rows (one for each text) with the text."""
+    return _only(docs, rows).join(rows, ["u", "v"])
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, held: int = HELD) -> DataFrame:
@@ -267,24 +274,21 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, held: int
     ranges = durable(ranges.join(twice, "gram"))
 
     equal = durable(ranges.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("u", "v", "lo", "hi", "at")).alias("one")))
-    found = ranges.join(equal.filter("c > 1").select("gram", "name"), ["gram", "name"]).select("u", "v", "lo", "hi")
-    mixed = durable(equal.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least")).filter("kinds > 1 and least = 1").select("gram"))
-    left = equal.join(mixed, "gram").select("gram", (F.col("c") == 1).alias("open"), "one.*")
-
-    wanted = left.groupBy("u", "v").agg(F.collect_list(F.struct("gram", "lo", "hi", "at", "open")).alias("wanted"))
-    tuples = durable(_with_text(docs, durable(wanted)).select("u", "v", "text", "wanted").mapInArrow(_tuples(length, gram), TUPLES))
-    while True:
-        sizes = durable(tuples.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("wanted")).filter("n > 1 and wanted").select("name", "n"))
-        sized = durable(tuples.join(sizes, "name"))
-        # a group of one offset is known whole: its name covers all bytes of its strings
-        one = F.col("near") == F.col("far")
-        found = found.unionByName(sized.filter(one & F.col("open")).select("u", "v", (F.col("at") - F.col("near")).alias("lo"), (F.col("at") - F.col("near")).alias("hi")))
-        small = sized.filter(~one & (F.col("n") <= held)).drop("n")
-        found = found.unionByName(small.repartition("name").sortWithinPartitions("name", "right").mapInArrow(_matched(length), "u long, v long, lo long, hi long"))
-        large = sized.filter(~one & (F.col("n") > held)).drop("n")
-        if not large.limit(1).count():
-            return found
-        tuples = durable(large.mapInArrow(_halves(length), TUPLES))
+    found = ranges.join(durable(equal.filter("c > 1").select("gram", "name")), ["gram", "name"]).select("u", "v", "lo", "hi")
+    mixed = durable(equal.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least")).filter("kinds > 1 and least = 1").select("gram", (F.col("kinds") > held).alias("large")))
+    left = durable(equal.join(mixed, "gram").select("gram", "large", (F.col("c") == 1).alias("open"), "one.*"))
+
+    def tuples(some: DataFrame) -> DataFrame:
+        wanted = durable(some.groupBy("u", "v").agg(F.collect_list(F.struct("gram", "lo", "hi", "at", "open")).alias("wanted")))
+        return _with_text(docs, wanted).select("u", "v", "text", "wanted").mapInArrow(_tuples(length), TUPLES)
+
+    small = tuples(left.filter("not large")).repartition("name").sortWithinPartitions("name", "right")
+    found = found.unionByName(small.mapInArrow(_matched(length), "u long, v long, lo long, hi long"))
+    if mixed.filter("large").limit(1).count():
+        each = durable(tuples(left.filter("large"))).mapInArrow(_positions(length), "gram long, name long, u long, v long, p long, open boolean")
+        again = durable(each.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("c"), F.bool_or("open").alias("any_open")).filter("c > 1 and any_open").select("gram", "name"))
+        found = found.unionByName(each.filter("open").join(again, ["gram", "name"]).select("u", "v", F.col("p").alias("lo"), F.col("p").alias("hi")))
+    return found
 
 
 def _cut(length: int):
@@ -350,7 +354,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = _rows(docs, "doc_id", "text")
     passages = durable(covered(rows, PASSAGE, PASSAGE_GRAM).select("u", "v", F.col("removed").alias("passage_bytes")))
-    cut = durable(spans(rows.join(passages, ["u", "v"], "left_semi")).drop("rest"))
+    cut = durable(spans(durable(_only(rows, passages))).drop("rest"))
     t = F.coalesce("text", F.lit(""))
     own = _identified(docs, "doc_id", "text").select(f"{OWN}.*", "doc_id", F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("own"))
     out = own.join(passages, ["u", "v"], "left").join(cut, ["u", "v"], "left")

@@ -124,7 +124,7 @@ def brute_cut(docs, length):
 
 @pytest.mark.parametrize("held", [0, 1, 4096])
 def test_suffix_dedup_equals_brute_force(spark, odd_docs, no_docs, held):
-    """held: groups above it are named anew, so 0 and 1 take the recursion to its end."""
+    """held: groups above it are named anew, position by position."""
     length = 60
     uid = {(r["doc_id"], r["text"]): (r[0]["u"], r[0]["v"]) for r in suffix_dedup._identified(odd_docs, "doc_id", "text").select(F.col(f"`{suffix_dedup.OWN}`"), "doc_id", "text").collect()}
     got = {(r["u"], r["v"]): (bytes(r["rest"]), r["sha"], r["removed"]) for r in suffix_dedup.spans(suffix_dedup._rows(odd_docs, "doc_id", "text"), length=length, gram=20, held=held).collect()}
