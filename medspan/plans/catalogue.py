@@ -13,7 +13,7 @@ from medspan.functions.search import cs, marked
 from medspan.operators import deid, intervals
 from medspan.operators.verify import locate
 from medspan.plans import process, render, score, sinks
-from medspan.sources.documents import duplicate_keys, read_table
+from medspan.sources.documents import duplicate_keys, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,13 +145,13 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries rendered from all customers, through masking, sections, rules and verification (A, G, X, N, F, V)."""
-    done = process.process(render.summaries(_table(spark, sf_dir, "customer")))
+    done = process.process(render.summaries(spread(_table(spark, sf_dir, "customer"))))
     return done.select("doc_id", *[F.col("fields")[f]["value"].alias(f) for f in render.FIELDS])
 
 
 def masked_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What masking takes out of rendered summaries, by kind, and whether anything is left."""
-    docs = deid.deidentify(render.summaries(_table(spark, sf_dir, "customer")))
+    docs = deid.deidentify(render.summaries(spread(_table(spark, sf_dir, "customer"))))
     kinds = F.transform("spans", lambda s: s["kind"])
     return docs.select("doc_id", F.array_join(F.array_sort(kinds), ",").alias("kinds"), F.size("residual").cast("long").alias("n_residual"), F.contains("anon_text", F.lit("Орлеанск")).alias("name_left"))
 
