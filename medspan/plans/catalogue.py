@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from medspan.functions import normal
 from medspan.functions.contract import VERSION, check_value
-from medspan.functions.search import cs, marked
+from medspan.functions.search import CLAUSE_END, cs, marked
 from medspan.operators import deid, intervals
 from medspan.operators.verify import locate
-from medspan.plans import process, render, score, sinks
+from medspan.plans import operator_queries, process, render, score, sinks
 from medspan.sources.documents import duplicate_keys, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,7 +76,7 @@ def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clause_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses of each turn, split at commas, semicolons and line ends, and how many of them hold a word."""
-    parts = F.split("text", "[;,\n]")
+    parts = F.split(F.translate("text", ".", ";"), cs(CLAUSE_END))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", parts.alias("parts"))
     return turns.select("conv_id", "turn", F.size("parts").cast("long").alias("n_parts"), F.size(F.filter("parts", lambda p: p.rlike(r"\S"))).cast("long").alias("n_clauses"))
 
@@ -130,8 +130,10 @@ def store_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their results and their fields as one value (K10, over all documents)."""
     orders, lines = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
-    fields = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_fields"), F.array_join(F.array_sort(F.collect_list(F.col("l_linenumber").cast("string"))), ",").alias("fields"))
-    return orders.join(fields, orders["o_orderkey"] == fields["l_orderkey"], "left").select("o_orderkey", F.coalesce("n_fields", F.lit(0)).alias("n_fields"), F.coalesce("fields", F.lit("")).alias("fields"))
+    each = lines.select(F.col("l_orderkey").alias("document_id"), F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("field"), *[F.lit(None).cast("string").alias(c) for c in ("value", "evidence", "ev_start", "ev_end", "source")])
+    rows = sinks.joined(orders.select(F.col("o_orderkey").alias("id")), each, orders.select(F.col("o_orderkey").alias("document_id"), F.lit("").alias("json")))
+    names = F.array_sort(F.transform(F.coalesce(F.map_keys("fields"), F.array().cast("array<string>")), lambda f: F.substring_index(f, "/", 1)))
+    return rows.select(F.col("id").alias("o_orderkey"), F.size(names).cast("long").alias("n_fields"), F.array_join(names, ",").alias("fields"))
 
 
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,14 +175,14 @@ def queries() -> dict[str, Query]:
             read_documents, duplicate_texts, mask_email, pii_kind_counts, span_merge, content_hash_cache, section_runs, line_offsets, clause_counts, norm_date, norm_number, stenosis_grades,
             contract_checks, eval_accuracy, eval_mismatches, store_latest, store_join, batch_summary, extract_fields, masked_summaries, near_quotes,
         )
-    }
+    } | operator_queries.queries()
 
 
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return operator_queries.oracle_sql() | {
         "read_documents": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'utf-8' AS encoding, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS sha256, CAST(NULL AS VARCHAR) AS error FROM documents",
         "duplicate_texts": "SELECT sha256(text) AS sha256, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1",
         "mask_email": f"SELECT doc_id, len(regexp_extract_all(text, '{EMAIL}')) AS n_spans, sha256(regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g')) AS masked_sha256 FROM documents",
@@ -202,7 +204,7 @@ def oracle_sql() -> dict[str, str]:
             WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
             SELECT doc_id, line_no, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(line) AS length FROM l""",
         "clause_counts": r"""
-            SELECT conv_id, turn, len(string_split_regex(text, '[;,\n]')) AS n_parts, len(list_filter(string_split_regex(text, '[;,\n]'), lambda p: regexp_matches(p, '\S'))) AS n_clauses FROM conversations""",
+            SELECT conv_id, turn, len(string_split_regex(text, '[.;,\n]')) AS n_parts, len(list_filter(string_split_regex(text, '[.;,\n]'), lambda p: regexp_matches(p, '\S'))) AS n_clauses FROM conversations""",
         "norm_date": "SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS value FROM orders",
         "norm_number": "SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || '.' || CAST(l_suppkey AS VARCHAR) AS value FROM lineitem",
         "stenosis_grades": "SELECT CASE WHEN l_quantity * 2 < 50 THEN '0' WHEN l_quantity * 2 < 90 THEN '1' ELSE '2' END AS grade, count(*) AS n FROM lineitem GROUP BY 1",
@@ -223,6 +225,9 @@ def oracle_sql() -> dict[str, str]:
         "batch_summary": f"""
             SELECT count(*) AS documents, count(*) FILTER (doc_id % 10 > 2) AS ok, count(*) FILTER (doc_id % 10 IN (1, 2)) AS cached, count(*) FILTER (doc_id % 10 = 0) AS failed, 'rules-only' AS mode,
               '{VERSION}' AS pipeline_version, round(sum(n_chars % 51) FILTER (doc_id % 10 > 2) / (count(*) FILTER (doc_id % 10 > 2) * 50.0), 3) AS evidence_rate, count(*) FILTER (doc_id % 10 = 5) AS with_warnings FROM documents""",
+        "near_quotes": r"""
+            WITH q AS (SELECT page_id, html, regexp_replace(upper(substring(html, 120, 60)), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS q FROM pages)
+            SELECT page_id, CASE WHEN q <> '' AND instr(lower(html), lower(q)) > 0 THEN CAST(instr(lower(html), lower(q)) - 1 AS INT) END AS start, CASE WHEN q <> '' AND instr(lower(html), lower(q)) > 0 THEN CAST(instr(lower(html), lower(q)) - 1 + length(q) AS INT) END AS "end" FROM q""",
         "extract_fields": render.EXPECTED_SQL,
         "masked_summaries": """
             SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 'address,age,dob,email,fio,fio,' || CASE WHEN c_custkey % 2 = 0 THEN 'fio,' ELSE '' END || 'id,phone,policy,snils' AS kinds, CAST(0 AS BIGINT) AS n_residual, false AS name_left
