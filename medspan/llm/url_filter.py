@@ -4,9 +4,8 @@ The host is what follows the first `://` up to `/`, `?`, `#` or the end, A-Z low
 the end. A rule (host, path) fits its host and all subdomains when the url's path starts with the rule's; of those that fit the
 longest wins. Urls without a rule are judged by the method: labels of the host are split into words by a Viterbi search under
 a unigram model of the words of all pages' texts, and the words, with the tokens of the path, are scored by naive Bayes, which
-learned from the urls that rules judge (over all of them, distributed counts).
-
-What is broadcast is bounded: MOST_WORDS words of the unigram model and MOST_TOKENS tokens of the classifier.
+learned from the urls that rules judge (over all of them, distributed counts; tokens that the rules themselves name are left
+out). Nothing is broadcast by hand or cut short: words, tokens and their weights are tables, and each distinct url is judged once.
 
 Null urls, and urls without `://`, have an empty host and path; no rule fits them. Where no rule fits any url, or all have one
 verdict, the priors decide, and `allow` where there are none. Repeated rows are judged alike. A null page_id is an ordinary
@@ -16,17 +15,15 @@ value, extra columns are ignored, and an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspan.llm.common import table
+from medspan.llm.common import durable, table
 
-MOST_WORDS, MOST_TOKENS, LONGEST_WORD = 50_000, 100_000, 24
+LONGEST_LABEL = 63
 ALLOW, BLOCK = "allow", "block"
 RULES = ((ALLOW, "com", "/"), (BLOCK, "example.com", "/en/"), (ALLOW, "www.example.com", "/en/"), (BLOCK, "net", "/es/"), (BLOCK, "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,27 +47,24 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def unigrams(texts: DataFrame, text: str, most: int = MOST_WORDS) -> dict[str, int]:
-    """Counts of the most frequent words of all texts, markup taken off."""
+def unigrams(texts: DataFrame, text: str) -> DataFrame:
+    """w, n: how often each word occurs in all texts, markup taken off."""
     plain = F.regexp_replace(F.lower(text), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>|&\w+;", " ")
-    words = texts.select(F.explode(F.split(plain, "[^a-z]+")).alias("w")).filter(f"length(w) between 1 and {LONGEST_WORD}")
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()
-    return {r["w"]: r["n"] for r in top}
+    return texts.select(F.explode(F.split(plain, "[^a-z]+")).alias("w")).filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
 class Splitter:
     """Splits a name into words by Viterbi under a unigram model; unknown words cost more with each letter."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
-        self.cost = {w: math.log(total / n) for w, n in counts.items()}
-        self.unknown = math.log(total + 1.0)
-        self.split = lru_cache(50_000)(self._split)
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = (sum(counts.values()) if total is None else total) or 1
+        self.cost = {w: math.log(self.total / n) for w, n in counts.items()}
+        self.unknown = math.log(self.total + 1.0)
 
-    def _split(self, name: str) -> tuple[str, ...]:
+    def split(self, name: str) -> tuple[str, ...]:
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(name) + 1):
-            best.append(min((best[start][0] + self._price(name[start:end]), start) for start in range(max(0, end - LONGEST_WORD), end)))
+            best.append(min((best[start][0] + self._price(name[start:end]), start) for start in range(end)))
         out, end = [], len(name)
         while end:
             start = best[end][1]
@@ -82,59 +76,59 @@ class Splitter:
         return self.cost.get(word, self.unknown + 2.3 * len(word))
 
 
-def _tokens(splitter: Splitter, host: str, path: str) -> list[str]:
-    words = [f"h:{w}" for label in re.split(r"[^a-z]+", host) if label for w in splitter.split(label)]
-    return words + [f"p:{'#' if t.isdigit() else t}" for t in re.split(r"[^0-9a-z]+", path.lower()) if t]
-
-
-def _tokenised(counts: dict[str, int]):
+def _split(total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(counts)
         for batch in batches:
-            block, token = [], []
-            for h, p, b in zip(*(c.to_pylist() for c in batch.columns)):
-                got = _tokens(splitter, h, p)
-                block += [b] * len(got)
-                token += got
-            yield pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(block, pa.int32())], names=["token", "block"])
+            labels, known = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("label", "known"))
+            words = [Splitter({k["w"]: k["n"] for k in ks or () if k["w"]}, total).split(x) for x, ks in zip(labels, known)]
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array([list(w) for w in words], pa.list_(pa.string()))], names=["label", "words"])
 
     return run
 
 
-def _judged(counts: dict[str, int], weights: dict[str, float], prior: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(counts)
-        for batch in batches:
-            of = batch.schema.get_field_index
-            hosts, paths, verdicts = (batch.column(of(c)).to_pylist() for c in ("host", "path", "verdict"))
-            odds = [prior + sum(weights.get(t, 0.0) for t in _tokens(splitter, h, p)) for h, p in zip(hosts, paths)]
-            judged = [v or (BLOCK if o > 0 else ALLOW) for v, o in zip(verdicts, odds)]
-            kept = [batch.column(of(c)) for c in ("page_id", "host", "path", "rule")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(judged, pa.string()), pa.array(odds, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "odds"])
-
-    return run
+def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """host, words: the words of each host's labels. A label's stretches are priced by a join with all words of the corpus, so that
+    no vocabulary is cut short; a label longer than LONGEST_LABEL is no name and stays whole."""
+    placed = hosts.select("host", F.explode(F.filter(F.split("host", "[^a-z]+"), lambda x: x != "")).alias("label"))
+    labels = placed.select("label").distinct()
+    n = F.length("label")
+    places = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring("label", i, k))))
+    stretches = labels.filter(n <= LONGEST_LABEL).select("label", F.explode(F.array_distinct(places)).alias("w"))
+    priced = stretches.join(counts, "w").groupBy("label").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    short = labels.filter(n <= LONGEST_LABEL).join(priced, "label", "left").mapInArrow(_split(total), "label string, words array<string>")
+    split = durable(short.unionByName(labels.filter(n > LONGEST_LABEL).select("label", F.array("label").alias("words"))))
+    return placed.join(split, "label").groupBy("host").agg(F.flatten(F.collect_list("words")).alias("words"))
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", rules=RULES) -> DataFrame:
     """key, host, path, rule, verdict, odds (log odds of `block` under the classifier) for each row."""
-    host, path = host_of(F.col(url)), path_of(F.col(url))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "verdict": verdict})
-    counts = unigrams(pages, text)
-    known = rows.filter("verdict is not null").select("host", "path", (F.col("verdict") == BLOCK).cast("int").alias("block"))
-    docs = {r["block"]: r["count"] for r in known.groupBy("block").count().collect()}
-    weights: dict[str, float] = {}
-    prior = 0.0
-    if sum(docs.values()):
-        prior = math.log((docs.get(1, 0) + 1) / (docs.get(0, 0) + 1))
-    if len(docs) == 2:
-        yes, no = F.sum("block"), F.sum(1 - F.col("block"))
-        counted = known.mapInArrow(_tokenised(counts), "token string, block int").groupBy("token").agg(yes.alias("yes"), no.alias("no"))
-        sums = counted.agg(F.sum("yes"), F.sum("no"), F.count(F.lit(1))).first()
-        top = counted.orderBy(F.desc(F.col("yes") + F.col("no")), "token").limit(MOST_TOKENS).collect()
-        weights = {r["token"]: math.log((r["yes"] + 1) / (sums[0] + sums[2])) - math.log((r["no"] + 1) / (sums[1] + sums[2])) for r in top}
-    out = rows.mapInArrow(_judged(counts, weights, prior), "page_id long, host string, path string, rule string, verdict string, odds double")
-    return out.withColumnRenamed("page_id", key)
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).withColumns({"rule": rule, "verdict": verdict})
+    sites = durable(rows.groupBy("host", "path", "verdict").agg(F.count(F.lit(1)).alias("times")))
+    words = durable(segmented(sites.select("host").distinct(), durable(unigrams(pages, text))))
+
+    # what the rules themselves consist of says nothing about urls that no rule fits
+    said = [f"p:{t}" for _, _, p in rules for t in p.split("/") if t] + [f"h:{w}" for _, h, _ in rules for w in h.split(".")]
+    part = lambda mark, x: F.concat(F.lit(mark), x)
+    paths = F.transform(F.filter(F.split(F.lower("path"), "[^0-9a-z]+"), lambda x: x != ""), lambda x: part("p:", F.when(x.rlike("^[0-9]+$"), "#").otherwise(x)))
+    hosts = F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda x: part("h:", x))
+    tokens = F.filter(F.concat(hosts, paths), lambda x: ~x.isin(*said)) if said else F.concat(hosts, paths)
+    told = durable(sites.join(words, "host", "left").select("host", "path", "verdict", "times", tokens.alias("tokens")))
+
+    block = (F.col("verdict") == BLOCK).cast("int")
+    known = told.filter("verdict is not null").select(F.explode("tokens").alias("token"), (block * F.col("times")).alias("yes"), ((1 - block) * F.col("times")).alias("no"))
+    counted = durable(known.groupBy("token").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
+    docs = {r["verdict"]: r["n"] for r in told.filter("verdict is not null").groupBy("verdict").agg(F.sum("times").alias("n")).collect()}
+    prior = math.log((docs.get(BLOCK, 0) + 1) / (docs.get(ALLOW, 0) + 1)) if docs else 0.0
+    yes, no, kinds = counted.agg(F.coalesce(F.sum("yes"), F.lit(0)), F.coalesce(F.sum("no"), F.lit(0)), F.count(F.lit(1))).first()
+    weights = counted.select("token", (F.log((F.col("yes") + 1) / F.lit(float(yes + kinds))) - F.log((F.col("no") + 1) / F.lit(float(no + kinds)))).alias("weight"))
+    summed = told.select("host", "path", F.explode("tokens").alias("token")).join(weights, "token").groupBy("host", "path").agg(F.sum("weight").alias("sum"))
+    odds = durable(told.select("host", "path").distinct().join(summed, ["host", "path"], "left").select("host", "path", (F.coalesce("sum", F.lit(0.0)) + prior).alias("odds")))
+
+    out = rows.join(odds, ["host", "path"], "left")
+    judged = F.coalesce("verdict", F.when(F.col("odds") > 0, BLOCK).otherwise(ALLOW))
+    return out.select(F.col("page_id").alias(key), "host", "path", "rule", judged.alias("verdict"), "odds")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

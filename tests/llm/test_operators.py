@@ -296,6 +296,41 @@ def test_names_split_into_the_likeliest_words():
     assert split("") == ()
 
 
+def test_verdicts_equal_plain_naive_bayes(spark):
+    """Splits, token counts and odds recomputed without Spark; repeated rows, nulls and a label that is too long among them."""
+    import math
+
+    hosts = ["goodnews.com", "cheappills.net", "news.example.com", "cheapnews.org", "goodpills.org", "www.example.com", f"{'x' * 70}.org"]
+    paths = ["/es/buy/1", "/fr/read", "/en/buy", "/good/2", "", "/en/"]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths] + ["http://cheappills.net/es/buy/1"] * 3 + [None, "none"]
+    html = "<p>good news good cheap pills</p> <b>buy</b> news"
+    pages = spark.createDataFrame([(i, u, html if i % 2 else None, i) for i, u in enumerate(urls)], "page_id long, url string, html string, token int")
+    got = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    assert len(got) == len(urls)
+
+    words = collections.Counter(w for i in range(len(urls)) if i % 2 for w in ["good", "news", "good", "cheap", "pills", "buy", "news"])
+    splitter = url_filter.Splitter(dict(words))
+    said = {"p:en", "p:es", "p:fr", "h:com", "h:example", "h:www", "h:net"}
+
+    def tokens(r):
+        labels = [x for x in re.split("[^a-z]+", r["host"]) if x]
+        parts = [f"h:{w}" for x in labels for w in ([x] if len(x) > 63 else splitter.split(x))]
+        return [t for t in parts + [f"p:{'#' if t.isdigit() else t}" for t in re.split("[^0-9a-z]+", r["path"].lower()) if t] if t not in said]
+
+    yes, no = collections.Counter(), collections.Counter()
+    sides = collections.Counter(r["verdict"] for r in got.values() if r["rule"])
+    for r in got.values():
+        if r["rule"]:
+            (yes if r["verdict"] == "block" else no).update(tokens(r))
+    kinds = len(yes | no)
+    for r in got.values():
+        odds = math.log((sides["block"] + 1) / (sides["allow"] + 1))
+        odds += sum(math.log((yes[t] + 1) / (yes.total() + kinds)) - math.log((no[t] + 1) / (no.total() + kinds)) for t in tokens(r) if t in yes or t in no)
+        assert abs(r["odds"] - odds) < 1e-9
+        if not r["rule"]:
+            assert r["verdict"] == ("block" if odds > 0 else "allow")
+
+
 # --- sampled segmentations
 
 
