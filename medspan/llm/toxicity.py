@@ -7,7 +7,8 @@ document share a min-hash signature and count once, so that a much-copied toxic
 A phrase of a lexicon word and a neighbour that clean rows use is an exception: hits inside it do not count.
 
 The score is a logistic function of the summed weight of a text's hits, as such and for each hundred words, fitted to the
-same labelled rows. TRAIN_ROWS bounds how many labelled rows are fitted to (those with the smallest hash of their id);
+same labelled rows. TRAIN_ROWS bounds how many labelled rows are fitted to (those with the smallest hash of their id), and with
+them lexicon and exceptions, which have no bound of their own;
 everything else covers all rows and whole texts.
 
 Null text counts as empty. A text without hits gets the lowest score, an empty one too. Without labelled rows of both classes
@@ -31,7 +32,7 @@ from medspan.llm.common import table
 
 TRAIN_ROWS = 20_000
 FOLDS, HELD_OUT = 5, 0
-LEAST_DOCS, LEAST_WEIGHT, MOST_ENTRIES, MOST_EXCEPTIONS = 6, 1.5, 4_000, 2_000
+LEAST_DOCS, LEAST_WEIGHT = 6, 1.5
 PREFIXES = (4, 5, 6)
 
 # Letters that look like Latin ones (Cyrillic, Greek, full width), and digits and signs that stand for letters.
@@ -42,7 +43,6 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
 WIDE = {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
 INVISIBLE = "­​‌‍⁠﻿"
-EXCEPTIONS = ("clown fish", "trash can", "trash bin")
 
 
 def fold(text: Column) -> Column:
@@ -130,9 +130,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         p, n = F.sum("__y"), F.sum(1 - F.col("__y"))
         weight = F.log((p + 0.5) / (pos + 1)) - F.log((n + 0.5) / (neg + 1))
         counted = train.select("__y", F.explode(entries).alias("entry")).groupBy("entry").agg(p.alias("p"), weight.alias("w"))
-        top = counted.filter((F.col("p") >= LEAST_DOCS) & (F.col("w") >= LEAST_WEIGHT)).orderBy(F.desc("p"), F.desc("w"), "entry").limit(MOST_ENTRIES).collect()
+        top = counted.filter((F.col("p") >= LEAST_DOCS) & (F.col("w") >= LEAST_WEIGHT)).orderBy("entry").collect()
         model = Model(entries={r["entry"]: r["w"] for r in top})
-        model.exceptions = [f" {x} " for x in EXCEPTIONS] + _exceptions(train, model)
+        model.exceptions = _exceptions(train, model)
         return _calibrated(train, model)
     finally:
         train.unpersist()
@@ -164,7 +164,7 @@ def _exceptions(train: DataFrame, model: Model) -> list[str]:
     seen = train.select(F.col("__y").cast("int"), "folded").mapInArrow(pairs, "y int, phrase string")
     clean, toxic = F.sum(1 - F.col("y")), F.sum("y")
     found = seen.groupBy("phrase").agg(clean.alias("clean"), toxic.alias("toxic")).filter("clean >= 2 and clean > 2 * toxic")
-    return [r["phrase"] for r in found.orderBy(F.desc("clean"), "phrase").limit(MOST_EXCEPTIONS).collect()]
+    return [r["phrase"] for r in found.orderBy("phrase").collect()]
 
 
 def _shape(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
