@@ -72,10 +72,11 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """bucket, at, ghost, key, text, next: each row with the text of the next one, descending key, the first after the last.
 
     The order is dealt out by ranges of the key; each range also gets the head of the one after it (a ghost), so no task
-    sees more than a range. Only the ranges' bounds and heads, a fixed number of values, pass through the driver.
+    sees more than a range. Rows of one id (or without one) are one range however many there are; ids are taken to repeat
+    rarely. Only the ranges' bounds and heads, as many as there are tasks, pass through the driver.
     """
     spark = docs.sparkSession
-    n = 2 * slices(spark, most=512)
+    n = 2 * slices(spark)
     k = F.col(key)
     cuts = docs.agg(F.percentile_approx(k, [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     cuts = sorted({int(c) for c in cuts})

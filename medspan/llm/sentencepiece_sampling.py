@@ -33,7 +33,7 @@ MARK = "▁"
 # what a word leaves beyond one segmentation is 1 - p where that is more than this, and summed over the others below it
 SURE_LEFT = 1e-6
 CACHED_WORDS, CHUNK_CHARS = 150_000, 600_000
-SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, round_trip boolean"
+SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, round_trip boolean, ids array<int>"
 
 
 def default_model() -> str:
@@ -202,7 +202,7 @@ def _truncated(log_mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
 
 
 def _search(chunk: Chunk, lattice: Lattice, k: int, data: list[str]) -> list[list[tuple]]:
-    """For each text its k (or all) segmentations: (pieces, log probability, perturbed, inclusion, crc, round trip)."""
+    """For each text its k (or all) segmentations: (pieces, log probability, perturbed, inclusion, crc, round trip, ids)."""
     docs = range(len(chunk.words))
     everything = np.arange(len(chunk.kind))
     first = chunk.sample(everything, 0)
@@ -270,7 +270,7 @@ def _search(chunk: Chunk, lattice: Lattice, k: int, data: list[str]) -> list[lis
             ids = [i for a in arcs.tolist() for i in chunk.ids[a]]
             p = float(log.sum())
             included = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(min(700.0, p - threshold))))
-            rows.append((len(ids), p, top, included, zlib.crc32(np.array(ids, dtype="<u4").tobytes()), decode(lattice, ids) == data[d]))
+            rows.append((len(ids), p, top, included, zlib.crc32(np.array(ids, dtype="<u4").tobytes()), decode(lattice, ids) == data[d], ids))
         out.append(rows)
     return out
 
@@ -296,7 +296,7 @@ def _samples(path: str, k: int):
             _LATTICES[path] = Lattice(path)
         lattice = _LATTICES[path]
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             at = 0
