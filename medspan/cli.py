@@ -50,7 +50,9 @@ def _preprocess(spark: SparkSession, args: argparse.Namespace) -> int:
     counts = {r[0]: r[1] for r in process.section_counts(ready).collect()}
     bad = F.col("error").isNotNull()
     total = ready.agg(F.count(F.lit(1)).alias("documents"), F.count_if(bad).alias("errors"), F.count_if(~bad & (F.size("audit") > 0)).alias("needs_review")).first().asDict()
-    print(json.dumps(total | {"documents_with_section": counts, "warnings": {r[0]: r[1] for r in process.warning_counts(ready).collect()}}, ensure_ascii=False, indent=2))
+    summary = json.dumps(total | {"documents_with_section": counts, "warnings": {r[0]: r[1] for r in process.warning_counts(ready).collect()}}, ensure_ascii=False)
+    spark.createDataFrame([(summary,)], "value string").repartition(1).write.mode("overwrite").text(f"{args.output}/summary")
+    print(summary)
     return 1 if total["errors"] else 0
 
 
@@ -84,7 +86,9 @@ def _score(spark: SparkSession, args: argparse.Namespace) -> int:
     if gold is not None:
         compared = score.compared(pred.filter("valid"), _flat(gold)).persist()
         summary["accuracy"] = {f"{r['level']}:{r['name']}": r["accuracy"] for r in score.accuracy(compared).collect()}
-        summary["mismatches"] = [r.asDict() for r in score.mismatches(compared).limit(1000).collect()]
+        # all of them, as a table: their number grows with the documents
+        score.mismatches(compared).write.mode("overwrite").parquet(args.mismatches)
+        summary["mismatches"] = args.mismatches
     print(json.dumps(summary, ensure_ascii=False, indent=2))
     return 0 if summary["valid_json"] == 1 else 1
 
@@ -102,7 +106,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     pre.add_argument("--input", required=True)
     pre.add_argument("--output", default="out/preprocessed")
     marks = sub.add_parser("score")
-    for name, value in (("pred", "result"), ("docs", ""), ("gold", "eval/gold"), ("evidence", "result_evidence")):
+    for name, value in (("pred", "result"), ("docs", ""), ("gold", "eval/gold"), ("evidence", "result_evidence"), ("mismatches", "logs/mismatches")):
         marks.add_argument(f"--{name}", default=value)
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("medspan").getOrCreate()

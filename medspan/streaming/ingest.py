@@ -26,7 +26,9 @@ def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str, availa
             docs = pending(docs, done)
         except AnalysisException:
             pass  # nothing has been stored yet
-        sinks.save(sinks.store_tables(process(docs)), store)
+        done = process(docs).persist()  # the three tables come from one pass over the rules
+        sinks.save(sinks.store_tables(done), store)
+        done.unpersist()
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
