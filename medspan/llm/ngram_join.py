@@ -3,11 +3,13 @@
 A document's set is its distinct word shingles. Two documents link when intersection / union reaches the threshold; so they
 share at least T = ceil(threshold * n) of the n shingles of either. Inverted lists are told apart by length: a shingle's list
 is long when at least `long_list` documents hold it, else short. Shingles are ordered short lists first, long lists by length
-after them. Of a document's first n - T + 1 shingles in that order any partner holds one; the lists of those are merged, and
-the long lists beyond are only probed, by binary search in the other document's sorted shingles. A pair met on a list at
-places i and j can share at most min(n_a - i, n_b - j) more, which must reach the overlap that the sizes ask for: that drops
-most pairs of large groups before any text is read. The rest is bounded again by counts of shingles in buckets, since sets
-share at most the sum of the smaller counts; only what passes is compared whole.
+after them. Of a document's first n - T + 1 shingles in that order any partner holds one. That is the split DivideSkip makes with
+T - 1 long lists a query: the n - T + 1 short ones are merged, where one occurrence is then enough to be a candidate, so that
+no counts are kept, and the T - 1 long ones are only probed, by binary search in the other document's sorted shingles, until
+the overlap is known. The merge is Spark's sort of all (shingle, document) rows: spilled runs, merged through a priority queue,
+for all queries at once. A pair met on a list at places i and j can share at most min(n_a - i, n_b - j) more, which must reach
+the overlap that the sizes ask for: that drops most pairs of large groups before any text is read. The rest is bounded again by
+counts of shingles in buckets, since sets share at most the sum of the smaller counts; only what passes is compared whole.
 
 Equal sets are one class. Only components are asked for, so pairs that are already connected need no test: first each list's
 members are tested against the list's most common member (a star, linear in the list), and then only pairs between different
