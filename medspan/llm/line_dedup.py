@@ -21,6 +21,8 @@ from medspan.llm.common import durable, table
 
 GRAM, WINDOW = 2, 2
 MIN_LINES = GRAM + WINDOW - 1
+# before the names of columns that are ours, so that none of the table clashes
+OWN = "line dedup "
 
 
 def _shifted(items: Column, n: int) -> Column:
@@ -74,18 +76,18 @@ def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", gram:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """docs with `text` less the later repeated runs, and three more columns: lines_before, lines_removed, runs_removed."""
-    found = later_lines(docs, key, text, gram, window).select(F.col("key").alias("__key"), F.col("text_key").alias("__text_key"), "at")
+    found = later_lines(docs, key, text, gram, window).select(F.col("key").alias(f"{OWN}key"), F.col("text_key").alias(f"{OWN}text_key"), "at")
     t = F.col(text)
     # the text crosses the join as its lines, once
-    rows = docs.withColumns({"__hash": F.xxhash64(t), "__lines": F.split(t, "\n"), "__solid": F.size(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""))}).drop(text)
-    rows = rows.join(found.withColumnRenamed("at", "__at"), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__text_key")), "left")
-    numbers = F.transform("__at", lambda x: x["n"])
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.transform("__at", lambda x: x["place"]))
+    rows = docs.withColumns({f"{OWN}hash": F.xxhash64(t), f"{OWN}lines": F.split(t, "\n"), f"{OWN}solid": F.size(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""))}).drop(text)
+    rows = rows.join(found.withColumnRenamed("at", f"{OWN}at"), F.col(key).eqNullSafe(F.col(f"{OWN}key")) & (F.col(f"{OWN}hash") == F.col(f"{OWN}text_key")), "left")
+    numbers = F.transform(f"{OWN}at", lambda x: x["n"])
+    kept = F.array_except(F.sequence(F.lit(0), F.size(f"{OWN}lines") - 1), F.transform(f"{OWN}at", lambda x: x["place"]))
     return rows.select(
-        *[F.array_join(F.when(F.col("__at").isNull(), F.col("__lines")).otherwise(F.transform(kept, lambda i: F.get("__lines", i))), "\n").alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.greatest(F.lit(0), F.coalesce("__solid", F.lit(0))).cast("long").alias("lines_before"),
-        F.when(F.col("__at").isNull(), 0).otherwise(F.size("__at")).cast("long").alias("lines_removed"),
-        F.when(F.col("__at").isNull(), 0).otherwise(F.size(F.array_except(numbers, F.transform("__at", lambda x: x["n"] + 1)))).cast("long").alias("runs_removed"),
+        *[F.array_join(F.when(F.col(f"{OWN}at").isNull(), F.col(f"{OWN}lines")).otherwise(F.transform(kept, lambda i: F.get(f"{OWN}lines", i))), "\n").alias(text) if c == text else F.col(c) for c in docs.columns],
+        F.greatest(F.lit(0), F.coalesce(f"{OWN}solid", F.lit(0))).cast("long").alias("lines_before"),
+        F.when(F.col(f"{OWN}at").isNull(), 0).otherwise(F.size(f"{OWN}at")).cast("long").alias("lines_removed"),
+        F.when(F.col(f"{OWN}at").isNull(), 0).otherwise(F.size(F.array_except(numbers, F.transform(f"{OWN}at", lambda x: x["n"] + 1)))).cast("long").alias("runs_removed"),
     )
 
 

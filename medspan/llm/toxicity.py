@@ -116,7 +116,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     fold_of = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(FOLDS))
     chosen = labels.filter((fold_of != HELD_OUT) & F.col(label).isin(0, 1)).select(F.col(key).alias("__k"), F.col(label).alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("__k"), "__k", "__y").limit(rows)  # TRAIN_ROWS bounds what is broadcast
-    seen = docs.join(F.broadcast(chosen), F.col(key) == F.col("__k")).select("__y", fold(F.col(text)).alias("folded"))
+    texts = docs.select(F.col(key).alias("__key"), fold(F.col(text)).alias("folded"))
+    seen = texts.join(F.broadcast(chosen), F.col("__key") == F.col("__k")).select("__y", "folded")
     train = seen.withColumn("__s", _signature(F.col("folded"))).dropDuplicates(["__y", "__s"]).select("__y", "folded").persist()
     try:
         totals = {r["__y"]: r["count"] for r in train.groupBy("__y").count().collect()}

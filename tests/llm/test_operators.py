@@ -70,6 +70,22 @@ def test_line_dedup_equals_brute_force(spark, odd_docs, no_docs):
     assert line_dedup.dedup(no_docs).count() == 0
 
 
+def test_names_of_columns_do_not_clash(spark, odd_docs, tmp_path):
+    """Every operator over a table whose other columns are named like the operators' own."""
+    names = ("u", "v", "rest", "lo", "at", "gram", "folded", "weight", "words", "__k", "__y", "__key", "__hash", "__at", "__slice", "__n", "node", "token", "rank", "label", "host", "rule")
+    docs = odd_docs.select("doc_id", "text").filter("doc_id <> 60 or doc_id is null").withColumns({n: F.lit(1) for n in names})
+    docs = docs.withColumns({"html": F.col("text"), "url": F.concat(F.lit("http://a.com/"), "doc_id")})
+    marks = spark.createDataFrame([(i, i % 2, "x") for i in range(1, 12)], "doc_id long, toxic int, folded string")
+    n = docs.count()
+    cut = line_dedup.dedup(docs)
+    assert cut.count() == n and cut.columns[: len(docs.columns)] == docs.columns
+    assert toxicity.keep(docs, toxicity.learn(docs, marks)).columns == docs.columns
+    assert sharding.shard(docs).count() == ngram_join.join(docs).count() == fingerprint.edited_pairs(docs).count() == n
+    assert packing.pack(docs).count() >= n and sentencepiece_sampling.sample(docs, k=1).count() == n
+    assert suffix_dedup.dedup(docs, length=60, gram=20).columns == docs.columns
+    assert url_filter.judge(docs.withColumnRenamed("doc_id", "page_id")).count() == n
+
+
 # --- n-gram join
 
 
