@@ -159,8 +159,8 @@ def masked_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's title-like quotation, case changed, found again in its text (V2); approximate search has no SQL."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"), F.upper(F.substring("html", 120, 60)).alias("quote"))
+    """Each page's title-like quotation, case changed, found again in its text (V2)."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"), F.translate(F.substring("html", 120, 60), *LETTERS).alias("quote"))
     return locate(pages, "text", "quote", "at").select("page_id", F.col("at.start").alias("start"), F.col("at.end").alias("end"))
 
 
@@ -178,6 +178,7 @@ def queries() -> dict[str, Query]:
     } | operator_queries.queries()
 
 
+LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
 
 
@@ -226,7 +227,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) AS documents, count(*) FILTER (doc_id % 10 > 2) AS ok, count(*) FILTER (doc_id % 10 IN (1, 2)) AS cached, count(*) FILTER (doc_id % 10 = 0) AS failed, 'rules-only' AS mode,
               '{VERSION}' AS pipeline_version, round(sum(n_chars % 51) FILTER (doc_id % 10 > 2) / (count(*) FILTER (doc_id % 10 > 2) * 50.0), 3) AS evidence_rate, count(*) FILTER (doc_id % 10 = 5) AS with_warnings FROM documents""",
         "near_quotes": r"""
-            WITH q AS (SELECT page_id, html, regexp_replace(upper(substring(html, 120, 60)), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS q FROM pages)
+            WITH q AS (SELECT page_id, html, regexp_replace(translate(substring(html, 120, 60), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS q FROM pages)
             SELECT page_id, CASE WHEN q <> '' AND instr(lower(html), lower(q)) > 0 THEN CAST(instr(lower(html), lower(q)) - 1 AS INT) END AS start, CASE WHEN q <> '' AND instr(lower(html), lower(q)) > 0 THEN CAST(instr(lower(html), lower(q)) - 1 + length(q) AS INT) END AS "end" FROM q""",
         "extract_fields": render.EXPECTED_SQL,
         "masked_summaries": """
