@@ -11,8 +11,11 @@ the parts can wait in a queue under that bound until the largest is expanded. Th
 threshold for inclusion scores: 1 - exp(-exp(log p - threshold)). All noise is hashed from (row key, word, step), so that a
 row's samples do not depend on partitioning.
 
+The lattices of all distinct words of a slice of texts are built together: pieces are found by rolling hashes of all stretches
+(and compared letter by letter), and the sums over segmentations move on by one character in all words at once.
+
 Null and empty texts have one segmentation, the empty one, as have texts whose words allow only one. A null key is hashed as
-such. Repeated rows get the same samples. Extra columns are ignored. An empty table gives an empty result.
+such. A text without blanks is one word, however long, and has one lattice. Repeated rows get the same samples. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medspan.llm.common import table
-from medspan.llm.hashing import U64, mix
+from medspan.llm.hashing import U64, mix, powers
 
 SAMPLES = 2
 MARK = "▁"
 # what a word leaves beyond one segmentation is 1 - p where that is more than this, and summed over the others below it
 SURE_LEFT = 1e-6
-CACHED_WORDS, CHUNK_CHARS = 150_000, 600_000
+CHUNK_CHARS, FILTER_BITS = 2_000_000, 20
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, round_trip boolean, ids array<int>"
 
 
@@ -42,8 +45,14 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _expand(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places begin[i], begin[i] + 1, ... of each stretch, one stretch after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(begin - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Lattice:
-    """Words' lattices as rows of arcs: for each end position, the arcs that reach it with their backward probabilities."""
+    """The model's pieces as tables that find all pieces in a column of characters at once, a table for each length."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -56,44 +65,72 @@ class Lattice:
         norm = np.log(sum(1.0 / (r + 2) for r in range(n)))
         self.arcs = {self.pieces[i]: (i, -np.log(r + 2.0) - norm) for r, i in enumerate(plain)}
         self.byte_weight = -np.log(n + 2.0) - norm
-        self.longest = max(map(len, self.arcs))
-        self.cache: dict[str, tuple] = {}
         self.names = {i: p.encode() for p, (i, _) in self.arcs.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
-
-    def word(self, word: str) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]], np.ndarray, np.ndarray, np.ndarray]:
-        """(cumulative probabilities + row number, arc lengths, arc ids, arc log probabilities, logs of the sums, arc rows)."""
-        if (got := self.cache.get(word)) is not None:
-            return got
-        n, arcs, longest = len(word), self.arcs, self.longest
-        total, cum, length, ids, logs, rows = [0.0], [], [], [], [], []
-        for end in range(1, n + 1):
-            here = []
-            for start in range(max(0, end - longest), end):
-                # a mark that stands in the text itself is no blank: only the first character is one
-                arc = arcs.get(word[start:end]) if start == 0 or MARK not in word[start:end] else None
-                if arc is not None:
-                    here.append((total[start] + arc[1], end - start, (arc[0],), arc[1]))
-            if not here or here[-1][1] != 1:
-                raw = word[end - 1].encode("utf-8", "surrogatepass")
-                w = self.byte_weight * len(raw)
-                here.append((total[end - 1] + w, 1, tuple(self.byte_ids[b] for b in raw), w))
-            top = max(h[0] for h in here)
-            weights = [np.e ** (h[0] - top) for h in here]
-            s = sum(weights)
-            total.append(top + float(np.log(s)))
-            run = 0.0
-            for h, w in zip(here, weights):
-                run += w / s
-                cum.append(end - 1 + run)
-                length.append(h[1])
-                ids.append(h[2])
-                logs.append(h[3])
-                rows.append(end - 1)
-            cum[-1] = float(end)
-        out = (np.array(cum), np.array(length, dtype=np.int32), ids, np.array(logs), np.array(total), np.array(rows, dtype=np.int64))
-        if len(self.cache) < CACHED_WORDS:
-            self.cache[word] = out
-        return out
+        by_length: dict[int, list[str]] = {}
+        for p in self.arcs:
+            by_length.setdefault(len(p), []).append(p)
+        self.tables = {length: self._table(length, ps) for length, ps in sorted(by_length.items(), reverse=True)}
+
+    def _table(self, length: int, pieces: list[str]) -> tuple[np.ndarray, ...]:
+        """(which low bits of a hash occur, sorted hashes, characters, ids, log probabilities) of the pieces of a length."""
+        letters = characters(pieces).reshape(-1, length)
+        hashes = (mix(letters.astype(U64) + U64(1)) * powers(length)[0]).sum(axis=1, dtype=U64)
+        order = np.argsort(hashes)
+        seen = np.zeros(1 << FILTER_BITS, dtype=bool)
+        seen[hashes >> U64(64 - FILTER_BITS)] = True
+        ids, logs = (np.array([self.arcs[p][k] for p in pieces]) for k in (0, 1))
+        return seen, hashes[order], letters[order], ids[order], logs[order]
+
+    def find(self, text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """All arcs in the characters of some words, `place` being each one's number in its word: (row, length, log probability,
+        how many ids, first id in the list of ids), sorted by the row they end at, long ones first; and the list of ids."""
+        n = len(text)
+        hashes = np.zeros(n + 1, dtype=U64)
+        np.cumsum(mix(text.astype(U64) + U64(1)) * powers(n)[0], out=hashes[1:])
+        inverse = powers(n)[1]
+        # a mark that stands in the text itself is no blank: only the first character is one
+        marks = np.concatenate([[0], np.cumsum(text == ord(MARK))])
+        marked = marks[-1] > (place == 0).sum()
+        rows, lengths, ids, logs = [], [], [], []
+        bare = np.ones(n, dtype=bool)
+        for length, (seen, names, letters, piece_ids, piece_logs) in self.tables.items():
+            if length > n:
+                continue
+            h = (hashes[length:] - hashes[:-length]) * inverse[: n - length + 1]
+            at = np.flatnonzero(seen[h >> U64(64 - FILTER_BITS)] & (place[length - 1 :] >= length - 1))
+            found = np.minimum(np.searchsorted(names, h[at]), len(names) - 1)
+            same = names[found] == h[at]
+            at, found = at[same], found[same]
+            good = np.ones(len(at), dtype=bool)
+            for i in range(length):
+                good &= letters[found, i] == text[at + i]
+            if marked:
+                good &= (place[at] == 0) | (marks[at + length] == marks[at])
+            at, found = at[good], found[good]
+            rows.append(at + length - 1)
+            lengths.append(np.full(len(at), length, dtype=np.int32))
+            ids.append(piece_ids[found])
+            logs.append(piece_logs[found])
+            if length == 1:
+                bare[at] = False
+        loose = np.flatnonzero(bare)
+        kinds, which = np.unique(text[loose], return_inverse=True)
+        raw = [[self.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in kinds.tolist()]
+        sizes = np.array([len(r) for r in raw], dtype=np.int64)
+        begins = len(self.pieces) + np.cumsum(sizes) - sizes
+        rows.append(loose)
+        lengths.append(np.ones(len(loose), dtype=np.int32))
+        ids.append(begins[which])
+        logs.append(self.byte_weight * sizes[which])
+        counts = [np.ones(sum(map(len, rows[:-1])), dtype=np.int64), sizes[which]]
+        row = np.concatenate(rows)
+        order = np.argsort(row, kind="stable")
+        pool = np.concatenate([np.arange(len(self.pieces)), *map(np.array, raw)]).astype(np.int64)
+        return (*(np.concatenate(x)[order] for x in ([row], lengths, logs, counts, ids)), pool)
+
+
+def characters(words: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 def words_of(text: str) -> list[str]:
@@ -109,19 +146,15 @@ class Chunk:
         kinds: dict[str, int] = {}
         self.kind = np.array([kinds.setdefault(w, len(kinds)) for ws in self.words for w in ws], dtype=np.int64)
         self.begin = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
-        got = [lattice.word(w) for w in kinds]
         self.size = np.array([len(w) for w in kinds], dtype=np.int64)
         self.row = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
-        self.cum = np.concatenate([g[0] + r for g, r in zip(got, self.row)]) if got else np.zeros(0)
-        self.length = np.concatenate([g[1] for g in got]) if got else np.zeros(0, dtype=np.int32)
-        self.log = np.concatenate([g[3] for g in got]) if got else np.zeros(0)
-        self.ids = [i for g in got for i in g[2]]
-        self.total = np.array([g[4][-1] for g in got])
-        self.sums = [g[4] for g in got]
-        self.arc_row = np.concatenate([g[5] + r for g, r in zip(got, self.row)]) if got else np.zeros(0, dtype=np.int64)
+        place = np.arange(self.row[-1]) - np.repeat(self.row[:-1], self.size)
+        self.arc_row, self.length, self.log, self.id_count, self.id_begin, self.pool = lattice.find(characters(list(kinds)), place)
+        self.cum, self.sums = self._forward(place)
+        self.total = self.sums[self.row[1:] + np.arange(len(kinds))]
         self.last = np.zeros(self.row[-1], dtype=bool)
         self.last[self.row[1:] - 1] = True
-        self.arc_begin = np.searchsorted(self.arc_row, np.arange(self.row[-1] + 1))
+        self.arc_begin = np.concatenate([[0], np.cumsum(np.bincount(self.arc_row, minlength=self.row[-1]))]).astype(np.int64)
         self.known: dict[tuple[int, ...], float] = {}
         doc = np.repeat(np.arange(len(texts)), np.diff(self.begin))
         place = np.arange(len(self.kind)) - self.begin[doc]
@@ -129,13 +162,47 @@ class Chunk:
         self.seed = mix(seeds[doc] + place.astype(U64) * U64(0xD1342543DE82EF95)) if len(doc) else np.zeros(0, dtype=U64)
         self.doc_seed = seeds
 
+    def _forward(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward probabilities of the arcs, cumulated in each row and with the row's number added; and the log sums up to
+        each place of each word, from its beginning (0) on. All words move on by one character at a time."""
+        word = np.repeat(np.arange(len(self.size)), self.size)
+        order = np.argsort(place[self.arc_row], kind="stable")
+        row, log = self.arc_row[order], self.log[order]
+        to = row + word[row] + 1  # a word has one more place than characters
+        since = to - self.length[order]
+        fresh = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, dtype=np.int64)
+        ends = np.append(fresh[1:], len(row))
+        firsts = np.searchsorted(place[row[fresh]], np.arange(self.size.max() + 1 if len(self.size) else 1))
+        sums, share = np.zeros(self.row[-1] + len(self.size)), np.empty(len(row))
+        for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
+            lo, hi, begins = fresh[a], ends[b - 1], fresh[a:b]
+            value = sums[since[lo:hi]] + log[lo:hi]
+            counts = ends[a:b] - begins
+            top = np.maximum.reduceat(value, begins - lo)
+            weight = np.exp(value - np.repeat(top, counts))
+            whole = np.add.reduceat(weight, begins - lo)
+            sums[to[begins]] = top + np.log(whole)
+            share[lo:hi] = weight / np.repeat(whole, counts)
+        cum = np.empty(len(row))
+        cum[order] = share
+        run = np.cumsum(cum)
+        # each row's shares sum up to 1, so the running sum less its own error is the row's number plus the share so far
+        first = np.concatenate([[True], self.arc_row[1:] != self.arc_row[:-1]]) if len(row) else np.zeros(0, dtype=bool)
+        before = (run - cum)[first]
+        cum = run - np.repeat(before, np.diff(np.append(np.flatnonzero(first), len(row)))) + self.arc_row
+        cum[np.flatnonzero(first)[1:] - 1] = self.arc_row[np.flatnonzero(first)[1:] - 1] + 1.0
+        if len(row):
+            cum[-1] = self.arc_row[-1] + 1.0
+        return cum, sums
+
     def uniform(self, seed: np.ndarray, salt: int) -> np.ndarray:
         return ((mix(seed ^ mix(np.array([salt + 1], dtype=U64))) >> U64(11)).astype(np.float64) + 0.5) / 2**53
 
     def others(self, kind: int, barred: list[tuple[int, ...]]) -> tuple[list[tuple[int, ...]], np.ndarray]:
         """The segmentations of a word that are not barred, split by the first arc (from the end) that no barred one shares:
         the arcs up to it, and the log probability of each part. Sums of positive terms only, so small parts are exact too."""
-        sums, size, row = self.sums[kind], int(self.size[kind]), int(self.row[kind])
+        size, row = int(self.size[kind]), int(self.row[kind])
+        sums = self.sums[row + kind : row + kind + size + 1]
         taken: dict[tuple[int, ...], set[int]] = {}
         for path in barred:
             for i, arc in enumerate(path):
@@ -262,15 +329,21 @@ def _search(chunk: Chunk, lattice: Lattice, k: int, data: list[str]) -> list[lis
             at += n
             barred[d][len(leaves[d]) - 1, w] = ban
             grow(d, len(leaves[d]) - 1, w, r)
-    out = []
+    # the ids of all segmentations in one list
+    arcs = np.concatenate([leaf[1] for d in docs for leaf in leaves[d]]) if len(docs) else np.zeros(0, dtype=np.int64)
+    count = chunk.id_count[arcs]
+    every = chunk.pool[_expand(chunk.id_begin[arcs], count)]
+    ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum([0] + [len(leaf[1]) for d in docs for leaf in leaves[d]])]
+    out, at = [], 0
     for d in docs:
         threshold = max((float(b.max()) for b in bounds[d] if len(b)), default=-np.inf)
         rows = []
-        for log, arcs, top in leaves[d]:
-            ids = [i for a in arcs.tolist() for i in chunk.ids[a]]
+        for log, _, top in leaves[d]:
+            ids = every[ends[at] : ends[at + 1]]
+            at += 1
             p = float(log.sum())
             included = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(min(700.0, p - threshold))))
-            rows.append((len(ids), p, top, included, zlib.crc32(np.array(ids, dtype="<u4").tobytes()), decode(lattice, ids) == data[d], ids))
+            rows.append((len(ids), p, top, included, zlib.crc32(ids.astype("<u4").tobytes()), decode(lattice, ids.tolist()) == data[d], ids))
         out.append(rows)
     return out
 
@@ -308,7 +381,10 @@ def _samples(path: str, k: int):
                 some = texts[at:end]
                 chunk = Chunk(lattice, some, [(-1 if x is None else x) for x in keys[at:end]])
                 rows = [(keys[at + d], s, *row) for d, found in enumerate(_search(chunk, lattice, k, some)) for s, row in enumerate(found)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                *plain, ids = zip(*rows)
+                begins = np.cumsum([0] + [len(x) for x in ids])
+                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(plain, types)), lists], names=names)
                 at = end
 
     return run
