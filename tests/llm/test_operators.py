@@ -46,28 +46,42 @@ def test_sharding_follows_weights_and_confines_movement(spark):
 # --- line dedup
 
 
-def brute_lines(docs):
+def brute_lines(docs, long):
     seen, out = {}, {}
     for key, text in sorted({(d, t) for d, t in docs if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0)):
         lines = text.split("\n")
         solid = [(i, x.strip(" ")) for i, x in enumerate(lines) if x.strip(" ")]
         gone = set()
-        for i in range(len(solid) - line_dedup.MIN_LINES + 1):
-            run = tuple(x for _, x in solid[i : i + line_dedup.MIN_LINES])
-            if seen.setdefault(run, (key, i)) != (key, i):
-                gone |= {solid[j][0] for j in range(i, i + line_dedup.MIN_LINES)}
+        for n in range(1, line_dedup.MIN_LINES + 1):
+            for i in range(len(solid) - n + 1):
+                run = tuple(x for _, x in solid[i : i + n])
+                if n < line_dedup.MIN_LINES and (long is None or sum(len(x.encode()) for x in run) < long):
+                    continue
+                if seen.setdefault(run, (key, i)) != (key, i):
+                    gone |= {solid[j][0] for j in range(i, i + n)}
         out[key, text] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
 
-def test_line_dedup_equals_brute_force(spark, odd_docs, no_docs):
+@pytest.mark.parametrize("long", [None, 1, 20, line_dedup.LONG_RUN])
+def test_line_dedup_equals_brute_force(spark, odd_docs, no_docs, long):
     docs = odd_docs.withColumn("was", F.col("text"))
-    got = line_dedup.dedup(docs).collect()
-    want = brute_lines(rows_of(odd_docs))
+    got = line_dedup.dedup(docs, long=long).collect()
+    want = brute_lines(rows_of(odd_docs), long)
     assert len(got) == odd_docs.count()
     assert all(r["text"] == (None if r["was"] is None else want[r["doc_id"], r["was"]]) for r in got)
     assert any(r["lines_removed"] for r in got)
-    assert line_dedup.dedup(no_docs).count() == 0
+    assert line_dedup.dedup(no_docs, long=long).count() == 0
+
+
+def test_line_dedup_finds_long_passages_on_one_and_two_lines(spark):
+    passage = " ".join(f"word{i}" for i in range(51))
+    halves = passage[: len(passage) // 2], passage[len(passage) // 2 :]
+    texts = [f"a\n{passage}\nb", f"c\n  {passage}", f"d\n{halves[0]}\n{halves[1]}\ne", f"{halves[0]}\n\n{halves[1]}\nf", f"g\n{halves[0]}", "a\nb"]
+    assert len(halves[0]) < line_dedup.LONG_RUN < len(passage)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()}
+    assert got == {0: texts[0], 1: "c", 2: texts[2], 3: "\nf", 4: texts[4], 5: "a\nb"}
 
 
 def test_names_of_columns_do_not_clash(spark, odd_docs, tmp_path):
