@@ -32,8 +32,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are cut from the texts; every document stays."""
-    return _counted(line_dedup.dedup(docs), docs.columns)
+    """Later repeats of runs of lines are cut from the texts; every document stays. Long passages on fewer lines are left to the suffix
+    stage: a copy that stands on one line would else be empty before the near-duplicate stage could name it a copy."""
+    return _counted(line_dedup.dedup(docs, long=None), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
