@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,10 +67,13 @@ class Lattice:
         self.arcs = {self.pieces[i]: (i, -np.log(r + 2.0) - norm) for r, i in enumerate(plain)}
         self.byte_weight = -np.log(n + 2.0) - norm
         self.names = {i: p.encode() for p, (i, _) in self.arcs.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
+        spelt = [self.names.get(i, b"") for i in range(n)]
+        self.name_bytes, self.name_size = np.frombuffer(b"".join(spelt), dtype=np.uint8), np.array([len(x) for x in spelt], dtype=np.int64)
+        self.name_begin = np.cumsum(self.name_size) - self.name_size
         by_length: dict[int, list[str]] = {}
         for p in self.arcs:
             by_length.setdefault(len(p), []).append(p)
-        self.tables = {length: self._table(length, ps) for length, ps in sorted(by_length.items(), reverse=True)}
+        self.tables = {length: self._table(length, ps) for length, ps in sorted(by_length.items())}
 
     def _table(self, length: int, pieces: list[str]) -> tuple[np.ndarray, ...]:
         """(which low bits of a hash occur, sorted hashes, characters, ids, log probabilities) of the pieces of a length."""
@@ -93,13 +97,18 @@ class Lattice:
         marked = marks[-1] > (place == 0).sum()
         rows, lengths, ids, logs = [], [], [], []
         bare = np.ones(n, dtype=bool)
+        # how many characters of the word there are from each place on
+        ends = np.append(np.flatnonzero(place == 0)[1:], n)
+        left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
+        begin = np.arange(n)
         for length, (seen, names, letters, piece_ids, piece_logs) in self.tables.items():
-            if length > n:
-                continue
-            h = (hashes[length:] - hashes[:-length]) * inverse[: n - length + 1]
-            at = np.flatnonzero(seen[h >> U64(64 - FILTER_BITS)] & (place[length - 1 :] >= length - 1))
-            found = np.minimum(np.searchsorted(names, h[at]), len(names) - 1)
-            same = names[found] == h[at]
+            if length > 1:
+                begin = begin[left[begin] >= length]
+            h = (hashes[begin + length] - hashes[begin]) * inverse[begin]
+            some = np.flatnonzero(seen[h >> U64(64 - FILTER_BITS)])
+            at, h = begin[some], h[some]
+            found = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            same = names[found] == h
             at, found = at[same], found[same]
             good = np.ones(len(at), dtype=bool)
             for i in range(length):
@@ -118,11 +127,9 @@ class Lattice:
         raw = [[self.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in kinds.tolist()]
         sizes = np.array([len(r) for r in raw], dtype=np.int64)
         begins = len(self.pieces) + np.cumsum(sizes) - sizes
-        rows.append(loose)
-        lengths.append(np.ones(len(loose), dtype=np.int32))
-        ids.append(begins[which])
-        logs.append(self.byte_weight * sizes[which])
-        counts = [np.ones(sum(map(len, rows[:-1])), dtype=np.int64), sizes[which]]
+        counts = [np.ones(sum(map(len, rows)), dtype=np.int64), sizes[which]]
+        # long pieces first
+        rows, lengths, ids, logs = ([*x[::-1], y] for x, y in zip((rows, lengths, ids, logs), (loose, np.ones(len(loose), dtype=np.int32), begins[which], self.byte_weight * sizes[which])))
         row = np.concatenate(rows)
         order = np.argsort(row, kind="stable")
         pool = np.concatenate([np.arange(len(self.pieces)), *map(np.array, raw)]).astype(np.int64)
@@ -135,7 +142,7 @@ def characters(words: list[str]) -> np.ndarray:
 
 def words_of(text: str) -> list[str]:
     """The text's words, each with the blank before it; the first one's is added."""
-    return [MARK + w for w in text.split(" ")] if text else []
+    return (MARK + text.replace(" ", f" {MARK}")).split(" ") if text else []
 
 
 class Chunk:
@@ -143,8 +150,10 @@ class Chunk:
 
     def __init__(self, lattice: Lattice, texts: list[str], keys: list[int]):
         self.words = [words_of(t) for t in texts]
-        kinds: dict[str, int] = {}
-        self.kind = np.array([kinds.setdefault(w, len(kinds)) for ws in self.words for w in ws], dtype=np.int64)
+        every = np.empty(sum(map(len, self.words)), dtype=object)
+        every[:] = [w for ws in self.words for w in ws]
+        kind, kinds = pd.factorize(every)
+        self.kind = kind.astype(np.int64)
         self.begin = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
         self.size = np.array([len(w) for w in kinds], dtype=np.int64)
         self.row = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
@@ -166,7 +175,8 @@ class Chunk:
         """Backward probabilities of the arcs, cumulated in each row and with the row's number added; and the log sums up to
         each place of each word, from its beginning (0) on. All words move on by one character at a time."""
         word = np.repeat(np.arange(len(self.size)), self.size)
-        order = np.argsort(place[self.arc_row], kind="stable")
+        small = place.astype(np.uint16) if len(place) and self.size.max() < 1 << 16 else place
+        order = np.argsort(small[self.arc_row], kind="stable")
         row, log = self.arc_row[order], self.log[order]
         to = row + word[row] + 1  # a word has one more place than characters
         since = to - self.length[order]
@@ -250,7 +260,11 @@ class Chunk:
         while len(live):
             row = self.row[kind[live]] + at[live] - 1
             u = self.uniform(self.seed[tokens[live]], salt * 4096 + step)
-            arc = np.searchsorted(self.cum, row + u, side="left")
+            arc, u = self.arc_begin[row], row + u
+            todo = np.flatnonzero(self.cum[arc] < u)
+            while len(todo):
+                arc[todo] += 1
+                todo = todo[self.cum[arc[todo]] < u[todo]]
             log[live] += self.log[arc]
             steps.append((live, arc))
             at[live] -= self.length[arc]
@@ -263,7 +277,7 @@ class Chunk:
         return np.minimum(log, 0.0), tokens[who[order]], arcs[order]
 
 
-def _truncated(log_mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
+def _truncated(log_mass: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variates with these locations, truncated at top."""
     return -np.logaddexp(-top, np.log(-np.log(u)) - log_mass)
 
@@ -278,32 +292,44 @@ def _search(chunk: Chunk, lattice: Lattice, k: int, data: list[str]) -> list[lis
     bounds: list[list[np.ndarray]] = [[] for _ in docs]
     barred: list[dict] = [{} for _ in docs]
 
-    def grow(d: int, leaf: int, start: int, salt: int) -> None:
-        """Split what the leaf leaves of its set: from word `start` on."""
-        log, arcs, top = leaves[d][leaf]
-        n = len(log)
+    def grow(picked: list[tuple[int, int, int]], salt: int) -> None:
+        """Split what leaves (text, leaf, first word) leave of their sets, each from its first word on."""
+        logs, paths = [leaves[d][i][0] for d, i, _ in picked], [leaves[d][i][1] for d, i, _ in picked]
+        size = np.array([len(x) for x in logs], dtype=np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        log, arcs = np.concatenate(logs), np.concatenate(paths)
+        of = np.array([d for d, _, _ in picked], dtype=np.int64)
+        tokens = _expand(chunk.begin[of], size)
+        ends = np.concatenate([[0], _ends(chunk, arcs)])
+        path = lambda w: tuple(arcs[ends[w] : ends[w + 1]][::-1].tolist())
         left = -np.expm1(log)
-        ends = _ends(chunk, arcs)
-        path = lambda w: tuple(arcs[ends[w - 1] if w else 0 : ends[w]][::-1].tolist())
-        for w in np.flatnonzero(left < SURE_LEFT):
-            left[w] = chunk.left(int(chunk.kind[chunk.begin[d] + w]), [path(w)])
-        if start < n and leaf:
-            left[start] = chunk.left(int(chunk.kind[chunk.begin[d] + start]), [*barred[d][leaf, start], path(start)])
-        mass = np.concatenate([[0.0], np.cumsum(log)[:-1]]) if n else log
+        for w in np.flatnonzero(left < SURE_LEFT).tolist():
+            left[w] = chunk.left(int(chunk.kind[tokens[w]]), [path(w)])
+        for (d, leaf, start), a in zip(picked, at.tolist()):
+            if leaf and start < len(leaves[d][leaf][0]):
+                left[a + start] = chunk.left(int(chunk.kind[tokens[a + start]]), [*barred[d][leaf, start], path(a + start)])
+        # log probability of the words before each one of its text
+        mass = np.zeros(len(log))
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            if b > a:
+                np.cumsum(log[a : b - 1], out=mass[a + 1 : b])
         with np.errstate(divide="ignore"):
-            mass = mass + np.log(left)
-        u = chunk.uniform(chunk.seed[chunk.begin[d] : chunk.begin[d + 1]], 1_000_003 + salt)
-        bound = _truncated(mass, top, u)
-        bound[:start] = -np.inf
+            mass += np.log(left)
+        top = np.repeat([leaves[d][i][2] for d, i, _ in picked], size)
+        bound = _truncated(mass, top, chunk.uniform(chunk.seed[tokens], 1_000_003 + salt))
         bound[left <= 0] = -np.inf
-        bounds[d].append(bound)
+        for (d, _, start), a, b in zip(picked, at[:-1].tolist(), at[1:].tolist()):
+            bound[a : a + start] = -np.inf
+            bounds[d].append(bound[a:b])
 
+    if not len(docs):
+        return []
     cut = np.searchsorted(first[1], chunk.begin)
     tops = -np.log(-np.log(chunk.uniform(chunk.doc_seed, 7)))
     for d in docs:
         b, e = chunk.begin[d], chunk.begin[d + 1]
         leaves.append([(first[0][b:e], first[2][cut[d] : cut[d + 1]], float(tops[d]))])
-        grow(d, 0, 0, 0)
+    grow([(d, 0, 0) for d in docs], 0)
     for r in range(1, k):
         picked = {}
         for d in docs:
@@ -328,22 +354,26 @@ def _search(chunk: Chunk, lattice: Lattice, k: int, data: list[str]) -> list[lis
             leaves[d].append((np.concatenate([parent[0][:w], [own], log[at : at + n]]), np.concatenate([parent[1][:begin], head, arcs[lo:hi]]), top))
             at += n
             barred[d][len(leaves[d]) - 1, w] = ban
-            grow(d, len(leaves[d]) - 1, w, r)
+        grow([(d, len(leaves[d]) - 1, w) for d, (_, w, _) in picked.items()], r)
     # the ids of all segmentations in one list
-    arcs = np.concatenate([leaf[1] for d in docs for leaf in leaves[d]]) if len(docs) else np.zeros(0, dtype=np.int64)
+    arcs = np.concatenate([leaf[1] for d in docs for leaf in leaves[d]])
     count = chunk.id_count[arcs]
     every = chunk.pool[_expand(chunk.id_begin[arcs], count)]
     ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum([0] + [len(leaf[1]) for d in docs for leaf in leaves[d]])]
+    # and their bytes
+    spelt = lattice.name_bytes[_expand(lattice.name_begin[every], lattice.name_size[every])]
+    stops = np.concatenate([[0], np.cumsum(lattice.name_size[every])])[ends]
     out, at = [], 0
     for d in docs:
         threshold = max((float(b.max()) for b in bounds[d] if len(b)), default=-np.inf)
         rows = []
         for log, _, top in leaves[d]:
             ids = every[ends[at] : ends[at + 1]]
+            same = text_of(spelt[stops[at] : stops[at + 1]].tobytes()) == data[d]
             at += 1
             p = float(log.sum())
             included = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(min(700.0, p - threshold))))
-            rows.append((len(ids), p, top, included, zlib.crc32(ids.astype("<u4").tobytes()), decode(lattice, ids.tolist()) == data[d], ids))
+            rows.append((len(ids), p, top, included, zlib.crc32(ids.astype("<u4").tobytes()), same, ids))
         out.append(rows)
     return out
 
@@ -356,8 +386,12 @@ def _ends(chunk: Chunk, arcs: np.ndarray) -> np.ndarray:
 def decode(lattice: Lattice, ids: list[int]) -> str:
     """The text of a list of ids: the exact inverse of any segmentation."""
     names = lattice.names
-    text = b"".join([names[i] for i in ids]).decode("utf-8", "surrogatepass")
-    return text.replace(MARK, " ")[1:]
+    return text_of(b"".join([names[i] for i in ids]))
+
+
+def text_of(spelt: bytes) -> str:
+    """The text of the bytes that a list of ids spells: a blank for each mark, less the first."""
+    return spelt.decode("utf-8", "surrogatepass").replace(MARK, " ")[1:]
 
 
 _LATTICES: dict[str, Lattice] = {}

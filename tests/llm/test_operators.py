@@ -366,7 +366,8 @@ def test_verdicts_equal_plain_naive_bayes(spark):
 
 def test_samples_are_distinct_exact_and_decode(spark, odd_docs, no_docs):
     got = sentencepiece_sampling.sample(odd_docs, k=3).collect()
-    assert all(r["round_trip"] for r in got)
+    lattice, texts = sentencepiece_sampling.Lattice(sentencepiece_sampling.default_model()), dict(rows_of(odd_docs))
+    assert all(r["round_trip"] and sentencepiece_sampling.decode(lattice, r["ids"]) == (texts[r["doc_id"]] or "") for r in got)
     by = collections.defaultdict(list)
     for r in got:
         by[r["doc_id"]].append(r)
