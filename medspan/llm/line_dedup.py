@@ -38,14 +38,16 @@ def _shifted(items: Column, n: int) -> Column:
 def _sized(x: Column, i: Column, n: int) -> Column:
     """The run of n lines in x, which begins at line i."""
     lines = [x[f"x{j}"] for j in range(n)]
+    size = functools.reduce(lambda p, q: p + q, [y["size"] for y in lines])
     a, b = F.xxhash64(*[y["a"] for y in lines]), F.xxhash64(*[y["b"] for y in lines])
-    return F.struct(i.alias("line"), F.array(*[y["place"] for y in lines]).alias("places"), a.alias("a"), b.alias("b"), functools.reduce(lambda p, q: p + q, [y["size"] for y in lines]).alias("size"))
+    return F.struct(i.alias("line"), F.array(*[y["place"] for y in lines]).alias("places"), a.alias("a"), b.alias("b"), size.alias("size"), F.greatest(lines[0]["size"], lines[-1]["size"]).alias("end"))
 
 
 def windows(docs: DataFrame, key: str, text: str, gram: int, window: int, long: int | None) -> DataFrame:
     """A row for each window: its document, the numbers and places of its lines, the gram it selects, whether the window
-    before it selected another one, and its content; and a row for each shorter run of `long` bytes, its content being its gram.
-    Each array is built once a row, in time linear in the lines."""
+    before it selected another one, and its content; and a row for each shorter run of `long` bytes, its content being its gram. A run that has `long` bytes
+    without its first line, and without its last, is left out: the two shorter runs repeat wherever it does, and are deleted with
+    the same lines. Each array is built once a row, in time linear in the lines."""
     run = gram + window - 1
     t = F.col(text)
     placed = F.filter(F.transform(F.split(t, "\n"), lambda x, i: F.struct(F.trim(x).alias("line"), i.alias("place"))), lambda x: x["line"] != "")
@@ -54,22 +56,25 @@ def windows(docs: DataFrame, key: str, text: str, gram: int, window: int, long:
         F.xxhash64(t).alias("text_key"),
         F.transform(placed, lambda x: F.struct(F.xxhash64(x["line"]).alias("a"), F.xxhash64(F.lit(1), x["line"]).alias("b"), x["place"].alias("place"), F.octet_length(x["line"]).alias("size"))).alias("lines"),
     )
+    covered = lambda s: F.lit(False) if long is None else s["size"] - s["end"] >= long
     all_of = lambda x, n, name: [x[f"x{i}"][name] for i in range(n)]
     grams = lines.select(
         "*",
         F.transform(_shifted(F.col("lines"), gram), lambda x, i: F.struct(F.xxhash64(*all_of(x, gram, "a")).alias("g"), (-i).alias("back"))).alias("grams"),
-        F.transform(_shifted(F.col("lines"), run), lambda x, i: F.struct(F.xxhash64(*all_of(x, run, "a")).alias("a"), F.xxhash64(*all_of(x, run, "b")).alias("b"), i.alias("line"), F.array(*all_of(x, run, "place")).alias("places"))).alias("runs"),
+        F.transform(_shifted(F.col("lines"), run), lambda x, i: F.struct(F.xxhash64(*all_of(x, run, "a")).alias("a"), F.xxhash64(*all_of(x, run, "b")).alias("b"), i.alias("line"), F.array(*all_of(x, run, "place")).alias("places"), covered(_sized(x, i, run)).alias("covered"))).alias("runs"),
     )
     picked = grams.select("*", F.transform(_shifted(F.col("grams"), window), lambda x: F.array_min(F.array(*[x[f"x{i}"] for i in range(window)]))).alias("picks"))
-    zipped = F.arrays_zip(F.col("runs").alias("run"), F.col("picks").alias("pick"), F.concat(F.array(F.lit(None).cast("struct<g:bigint,back:int>")), F.col("picks")).alias("last"))
+    zipped = F.arrays_zip(F.col("runs").alias("run"), F.col("picks").alias("pick"), F.concat(F.array(F.lit(None).cast("struct<g:bigint,back:int>")), F.col("picks")).alias("last"), F.concat(F.array(F.lit(False)), F.transform("runs", lambda x: x["covered"])).alias("gap"))
     whole = F.slice(zipped, F.lit(1), F.greatest(F.lit(0), F.size("lines") - (run - 1)))
     row = lambda line, places, g, fresh, a, b: F.struct(line.alias("line"), places.alias("places"), g.alias("gram"), fresh.alias("fresh"), a.alias("a"), b.alias("b"))
-    found = [F.transform(whole, lambda w: row(w["run"]["line"], w["run"]["places"], w["pick"]["g"], F.when(w["last"]["back"] == w["pick"]["back"], 0).otherwise(1), w["run"]["a"], w["run"]["b"]))]
+    whole = F.filter(whole, lambda w: ~w["run"]["covered"])
+    found = [F.transform(whole, lambda w: row(w["run"]["line"], w["run"]["places"], w["pick"]["g"], F.when((w["last"]["back"] == w["pick"]["back"]) & ~w["gap"], 0).otherwise(1), w["run"]["a"], w["run"]["b"]))]
     for n in range(1, run) if long is not None else ():
         sized = functools.partial(_sized, n=n)
         short = F.transform(_shifted(F.col("lines"), n), lambda x, i: sized(x, i))
         # past the end the size is null, and the run is not there
         heavy = F.filter(short, lambda s: s["size"] >= long)
+        heavy = F.filter(heavy, lambda s: ~covered(s)) if n > 1 else heavy
         found.append(F.transform(heavy, lambda s: row(s["line"], s["places"], s["a"], F.lit(1), s["a"], s["b"])))
     return picked.select("key", "text_key", F.explode(F.concat(*found)).alias("w")).select("key", "text_key", "w.*")
 
