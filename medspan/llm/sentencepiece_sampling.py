@@ -35,8 +35,8 @@ from medspan.llm.hashing import U64, mix, powers
 SAMPLES = 2
 MARK = "▁"
 # what a word leaves beyond one segmentation is 1 - p where that is more than this, and summed over the others below it
-SURE_LEFT = 1e-6
-CHUNK_CHARS, FILTER_BITS = 2_000_000, 20
+SURE_LEFT = 1e-8
+CHUNK_CHARS, FILTER_BITS = 600_000, 20
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, round_trip boolean, ids array<int>"
 
 
@@ -70,24 +70,28 @@ class Lattice:
         spelt = [self.names.get(i, b"") for i in range(n)]
         self.name_bytes, self.name_size = np.frombuffer(b"".join(spelt), dtype=np.uint8), np.array([len(x) for x in spelt], dtype=np.int64)
         self.name_begin = np.cumsum(self.name_size) - self.name_size
+        self.lengths, self.logs = np.ones(n, dtype=np.int64), np.zeros(n)
+        for piece, (i, log) in self.arcs.items():
+            self.lengths[i], self.logs[i] = len(piece), log
         by_length: dict[int, list[str]] = {}
         for p in self.arcs:
             by_length.setdefault(len(p), []).append(p)
         self.tables = {length: self._table(length, ps) for length, ps in sorted(by_length.items())}
 
     def _table(self, length: int, pieces: list[str]) -> tuple[np.ndarray, ...]:
-        """(which low bits of a hash occur, sorted hashes, characters, ids, log probabilities) of the pieces of a length."""
+        """(which low bits of a hash occur, sorted hashes, characters, ids) of the pieces of a length."""
         letters = characters(pieces).reshape(-1, length)
         hashes = (mix(letters.astype(U64) + U64(1)) * powers(length)[0]).sum(axis=1, dtype=U64)
         order = np.argsort(hashes)
         seen = np.zeros(1 << FILTER_BITS, dtype=bool)
         seen[hashes >> U64(64 - FILTER_BITS)] = True
-        ids, logs = (np.array([self.arcs[p][k] for p in pieces]) for k in (0, 1))
-        return seen, hashes[order], letters[order], ids[order], logs[order]
+        ids = np.array([self.arcs[p][0] for p in pieces], dtype=np.int32)
+        return seen, hashes[order], letters[order], ids[order]
 
     def find(self, text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-        """All arcs in the characters of some words, `place` being each one's number in its word: (row, length, log probability,
-        how many ids, first id in the list of ids), sorted by the row they end at, long ones first; and the list of ids."""
+        """All arcs in the characters of some words, `place` being each one's number in its word: (row, code), sorted by the row
+        they end at, long ones first. A code is a piece's id, or from there on a letter that goes by its bytes; and, of the codes,
+        (length, log probability, how many ids, first in the list of ids), and the list of ids."""
         n = len(text)
         hashes = np.zeros(n + 1, dtype=U64)
         np.cumsum(mix(text.astype(U64) + U64(1)) * powers(n)[0], out=hashes[1:])
@@ -95,13 +99,13 @@ class Lattice:
         # a mark that stands in the text itself is no blank: only the first character is one
         marks = np.concatenate([[0], np.cumsum(text == ord(MARK))])
         marked = marks[-1] > (place == 0).sum()
-        rows, lengths, ids, logs = [], [], [], []
+        rows, codes = [], []
         bare = np.ones(n, dtype=bool)
         # how many characters of the word there are from each place on
         ends = np.append(np.flatnonzero(place == 0)[1:], n)
         left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
         begin = np.arange(n)
-        for length, (seen, names, letters, piece_ids, piece_logs) in self.tables.items():
+        for length, (seen, names, letters, piece_ids) in self.tables.items():
             if length > 1:
                 begin = begin[left[begin] >= length]
             h = (hashes[begin + length] - hashes[begin]) * inverse[begin]
@@ -116,24 +120,22 @@ class Lattice:
             if marked:
                 good &= (place[at] == 0) | (marks[at + length] == marks[at])
             at, found = at[good], found[good]
-            rows.append(at + length - 1)
-            lengths.append(np.full(len(at), length, dtype=np.int32))
-            ids.append(piece_ids[found])
-            logs.append(piece_logs[found])
+            rows.append((at + length - 1).astype(np.int32))
+            codes.append(piece_ids[found])
             if length == 1:
                 bare[at] = False
         loose = np.flatnonzero(bare)
         kinds, which = np.unique(text[loose], return_inverse=True)
         raw = [[self.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in kinds.tolist()]
         sizes = np.array([len(r) for r in raw], dtype=np.int64)
-        begins = len(self.pieces) + np.cumsum(sizes) - sizes
-        counts = [np.ones(sum(map(len, rows)), dtype=np.int64), sizes[which]]
-        # long pieces first
-        rows, lengths, ids, logs = ([*x[::-1], y] for x, y in zip((rows, lengths, ids, logs), (loose, np.ones(len(loose), dtype=np.int32), begins[which], self.byte_weight * sizes[which])))
-        row = np.concatenate(rows)
+        size = np.concatenate([np.ones(len(self.pieces), dtype=np.int64), sizes])
+        row = np.concatenate([*rows[::-1], loose.astype(np.int32)])
+        code = np.concatenate([*codes[::-1], (len(self.pieces) + which).astype(np.int32)])
         order = np.argsort(row, kind="stable")
         pool = np.concatenate([np.arange(len(self.pieces)), *map(np.array, raw)]).astype(np.int64)
-        return (*(np.concatenate(x)[order] for x in ([row], lengths, logs, counts, ids)), pool)
+        lengths = np.concatenate([self.lengths, np.ones(len(raw), dtype=np.int64)])
+        logs = np.concatenate([self.logs, self.byte_weight * sizes])
+        return row[order], code[order], lengths, logs, size, np.cumsum(size) - size, pool
 
 
 def characters(words: list[str]) -> np.ndarray:
@@ -158,7 +160,7 @@ class Chunk:
         self.size = np.array([len(w) for w in kinds], dtype=np.int64)
         self.row = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
         place = np.arange(self.row[-1]) - np.repeat(self.row[:-1], self.size)
-        self.arc_row, self.length, self.log, self.id_count, self.id_begin, self.pool = lattice.find(characters(list(kinds)), place)
+        self.arc_row, self.code, self.lengths, self.logs, self.id_count, self.id_begin, self.pool = lattice.find(characters(list(kinds)), place)
         self.cum, self.sums = self._forward(place)
         self.total = self.sums[self.row[1:] + np.arange(len(kinds))]
         self.last = np.zeros(self.row[-1], dtype=bool)
@@ -176,33 +178,28 @@ class Chunk:
         each place of each word, from its beginning (0) on. All words move on by one character at a time."""
         word = np.repeat(np.arange(len(self.size)), self.size)
         small = place.astype(np.uint16) if len(place) and self.size.max() < 1 << 16 else place
-        order = np.argsort(small[self.arc_row], kind="stable")
-        row, log = self.arc_row[order], self.log[order]
-        to = row + word[row] + 1  # a word has one more place than characters
-        since = to - self.length[order]
-        fresh = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, dtype=np.int64)
-        ends = np.append(fresh[1:], len(row))
-        firsts = np.searchsorted(place[row[fresh]], np.arange(self.size.max() + 1 if len(self.size) else 1))
-        sums, share = np.zeros(self.row[-1] + len(self.size)), np.empty(len(row))
-        for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
-            lo, hi, begins = fresh[a], ends[b - 1], fresh[a:b]
-            value = sums[since[lo:hi]] + log[lo:hi]
-            counts = ends[a:b] - begins
-            top = np.maximum.reduceat(value, begins - lo)
+        at = small[self.arc_row]
+        order = np.argsort(at, kind="stable")
+        most = int(self.size.max()) if len(self.size) else 0
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=most))]).tolist()
+        sums, cum = np.zeros(self.row[-1] + len(self.size)), np.empty(len(self.code))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            some = order[lo:hi]
+            row, code = self.arc_row[some], self.code[some]
+            to = row + word[row] + 1  # a word has one more place than characters
+            begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            counts = np.diff(begins, append=len(row))
+            value = sums[to - self.lengths[code]] + self.logs[code]
+            top = np.maximum.reduceat(value, begins)
             weight = np.exp(value - np.repeat(top, counts))
-            whole = np.add.reduceat(weight, begins - lo)
+            whole = np.add.reduceat(weight, begins)
             sums[to[begins]] = top + np.log(whole)
-            share[lo:hi] = weight / np.repeat(whole, counts)
-        cum = np.empty(len(row))
-        cum[order] = share
-        run = np.cumsum(cum)
-        # each row's shares sum up to 1, so the running sum less its own error is the row's number plus the share so far
-        first = np.concatenate([[True], self.arc_row[1:] != self.arc_row[:-1]]) if len(row) else np.zeros(0, dtype=bool)
-        before = (run - cum)[first]
-        cum = run - np.repeat(before, np.diff(np.append(np.flatnonzero(first), len(row)))) + self.arc_row
-        cum[np.flatnonzero(first)[1:] - 1] = self.arc_row[np.flatnonzero(first)[1:] - 1] + 1.0
-        if len(row):
-            cum[-1] = self.arc_row[-1] + 1.0
+            share = weight / np.repeat(whole, counts)
+            run = np.cumsum(share)
+            run += row - np.repeat((run - share)[begins], counts)
+            ends = begins + counts - 1
+            run[ends] = row[ends] + 1.0
+            cum[some] = run
         return cum, sums
 
     def uniform(self, seed: np.ndarray, salt: int) -> np.ndarray:
@@ -219,12 +216,13 @@ class Chunk:
                 taken.setdefault(path[:i], set()).add(arc)
         heads, logs = [], []
         for head, gone in taken.items():
-            at = size - sum(int(self.length[a]) for a in head)
-            spent = sum(float(self.log[a]) for a in head)
+            at = size - sum(int(self.lengths[self.code[a]]) for a in head)
+            spent = sum(float(self.logs[self.code[a]]) for a in head)
             for arc in range(self.arc_begin[row + at - 1], self.arc_begin[row + at]):
                 if arc not in gone:
                     heads.append((*head, arc))
-                    logs.append(spent + self.log[arc] + sums[at - self.length[arc]] - sums[size])
+                    code = self.code[arc]
+                    logs.append(spent + self.logs[code] + sums[at - self.lengths[code]] - sums[size])
         return heads, np.array(logs)
 
     def left(self, kind: int, barred: list[tuple[int, ...]]) -> float:
@@ -244,12 +242,12 @@ class Chunk:
         draw = lambda step: float(self.uniform(self.seed[token : token + 1], salt * 4096 + step)[0])
         run = np.cumsum(np.exp(logs - logs.max()))
         path = list(heads[min(int(np.searchsorted(run, draw(0) * run[-1])), len(heads) - 1)])
-        at = int(self.size[kind]) - sum(int(self.length[a]) for a in path)
+        at = int(self.size[kind]) - sum(int(self.lengths[self.code[a]]) for a in path)
         while at > 0:
             arc = int(np.searchsorted(self.cum, self.row[kind] + at - 1 + draw(len(path)), side="left"))
             path.append(arc)
-            at -= int(self.length[arc])
-        return min(0.0, float(self.log[path].sum() - self.total[kind])), np.array(path[::-1], dtype=np.int64)
+            at -= int(self.lengths[self.code[arc]])
+        return min(0.0, float(self.logs[self.code[path]].sum() - self.total[kind])), np.array(path[::-1], dtype=np.int64)
 
     def sample(self, tokens: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the words at `tokens`: log probability each, and (token, arc) of all pieces in order of text."""
@@ -265,9 +263,10 @@ class Chunk:
             while len(todo):
                 arc[todo] += 1
                 todo = todo[self.cum[arc[todo]] < u[todo]]
-            log[live] += self.log[arc]
+            code = self.code[arc]
+            log[live] += self.logs[code]
             steps.append((live, arc))
-            at[live] -= self.length[arc]
+            at[live] -= self.lengths[code]
             live = live[at[live] > 0]
             step += 1
         if not steps:
@@ -357,8 +356,9 @@ def _search(chunk: Chunk, lattice: Lattice, k: int, data: list[str]) -> list[lis
         grow([(d, len(leaves[d]) - 1, w) for d, (_, w, _) in picked.items()], r)
     # the ids of all segmentations in one list
     arcs = np.concatenate([leaf[1] for d in docs for leaf in leaves[d]])
-    count = chunk.id_count[arcs]
-    every = chunk.pool[_expand(chunk.id_begin[arcs], count)]
+    codes = chunk.code[arcs]
+    count = chunk.id_count[codes]
+    every = chunk.pool[_expand(chunk.id_begin[codes], count)]
     ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum([0] + [len(leaf[1]) for d in docs for leaf in leaves[d]])]
     # and their bytes
     spelt = lattice.name_bytes[_expand(lattice.name_begin[every], lattice.name_size[every])]

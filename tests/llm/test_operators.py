@@ -398,7 +398,7 @@ def test_lattices_hold_all_pieces_and_their_sums():
                 want.append((1, tuple(lattice.byte_ids[b] for b in raw), lattice.byte_weight * len(raw)))
             row = chunk.row[kind] + end - 1
             arcs = range(chunk.arc_begin[row], chunk.arc_begin[row + 1])
-            assert [(chunk.length[a], tuple(chunk.pool[chunk.id_begin[a] :][: chunk.id_count[a]]), chunk.log[a]) for a in arcs] == want
+            assert [(chunk.lengths[c], tuple(chunk.pool[chunk.id_begin[c] :][: chunk.id_count[c]]), chunk.logs[c]) for c in chunk.code[list(arcs)]] == want
             parts = np.array([sums[end - n] + w for n, _, w in want])
             sums.append(float(np.logaddexp.reduce(parts)))
             assert np.allclose(chunk.cum[list(arcs)] - row, np.cumsum(np.exp(parts - sums[-1])), atol=1e-9)
