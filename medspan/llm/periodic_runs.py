@@ -200,7 +200,7 @@ def planted(key: Column, text: Column) -> Column:
 
     def repeated(words: Column) -> Column:
         n = F.size(words)
-        a = F.pmod(g, n)
+        a = F.pmod(g, F.greatest(n, F.lit(1)))
         p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
         return let(F.struct(a.alias("a"), p.alias("p")), lambda x: F.transform(words, lambda w, i: F.when(i < x["a"], w).otherwise(F.get(words, (x["a"] + F.pmod(i - x["a"], x["p"])).cast("int")))))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medspan.llm import chat_format, fingerprint, line_dedup, media, ngram_join, packing, periodic_runs, sentencepiece_sampling, sharding, suffix_dedup, toxicity, url_filter
+from medspan.llm import chat_format, fingerprint, line_dedup, media, ngram_join, packing, periodic_runs, sentencepiece_sampling, sharding, spelling_variants, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": url_filter.op8_url_filters,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
+        "op11_spelling_variants": spelling_variants.op11_spelling_variants,
         "op12_chat_format": chat_format.op12_chat_format,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
