@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections import deque
@@ -75,15 +76,22 @@ class Ids:
         return [data[x:y] for x, y in zip(at, at[1:])]
 
     def _parts(self, run: str) -> tuple[str, str]:
-        found = None if run.isalpha() else self.closed.fullmatch(run)
-        word, sign = found.groups() if found else (run, "")
-        return word.lower() if word.isascii() else word, sign
+        """A run's word and the signs that close it, as the tokenizer sees it: composed, which takes some letters apart into a letter
+        and a mark, and in lower case, which does so to a few more. A mark before a sign is one piece with it; such a run stays whole."""
+        if run.isascii():
+            found = None if run.isalpha() else self.closed.fullmatch(run)
+            word, sign = found.groups() if found else (run, "")
+            return word.lower(), sign
+        composed = unicodedata.normalize("NFC", run)
+        found = self.closed.fullmatch(composed) if self.closed.fullmatch(composed.lower()) else None
+        return found.groups() if found else (run, "")
 
     def _learn(self, runs: list[str]) -> dict[str, bytes]:
         """Ids of runs; cached as long as there is room."""
         parts = {r: self._parts(r) for r in runs}
         new = dict.fromkeys(x for p in parts.values() for x in p if x and x not in self.cache)
-        plain, other = [x for x in new if x.isalpha()], [x for x in new if not x.isalpha()]
+        letters = lambda x: x.isalpha() if x.isascii() else unicodedata.normalize("NFC", x).lower().isalpha()
+        plain, other = [x for x in new if letters(x)], [x for x in new if not letters(x)]
         made = dict(zip(plain, self._words(plain) if plain else [])) | dict(zip(other, self._encode(other)))
         get = lambda x: (made.get(x) or self.cache[x]) if x else b""
         whole = {r: get(word) + get(sign) for r, (word, sign) in parts.items()}

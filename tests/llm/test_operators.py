@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -240,6 +241,20 @@ def test_cached_ids_equal_the_tokenizer():
             assert np.frombuffer(ids.of(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_letters_that_change_before_signs_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokenizer, ids = Tokenizer.from_file(packing.default_tokenizer()), packing.Ids(packing.default_tokenizer())
+    every = [chr(i) for i in range(128, 0x110000) if not 0xD800 <= i < 0xE000]
+    changed = [c for c in every if unicodedata.normalize("NFC", c) != c or len(c.lower()) > 1 or unicodedata.combining(c)]
+    assert {"\u09dc", "\ufb46", "\ufb2e", "\u0130"} <= set(changed)
+    texts = [t for c in [*changed, *every[:12000:7]] for t in (f"{c}.", f"a{c}'", f"{c}b.", f"!{c}", f"{c}", f"{c}.{c}?")]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # learned, then cached
+        assert [t for t, x, y in zip(texts, ids.of_all(texts), want) if x != y] == []
+    assert ids.of(" ".join(texts)) == np.array(tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 # --- fingerprints
 
 
