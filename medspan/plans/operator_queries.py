@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medspan.functions import contract, normal, search
-from medspan.operators import deid, sections, verify
+from medspan.operators import deid, intervals, sections, verify
 from medspan.plans import process, score, sinks
 from medspan.sources.documents import read_files
 
@@ -333,10 +333,62 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_sql_pick("doc_id", "utf-8", "utf-16"
   CASE WHEN doc_id % 8 < 3 THEN sha256('текст ' || doc_id || chr(10) || 'конец') END AS sha256, {_sql_pick("doc_id", None, None, None, "unsupported_extension", "bad_docx", "binary_content", "empty_document", "unknown_encoding")} AS error FROM documents
 """
 
+# --- long tables
+
+STEP, SIGN, CAPITAL, REACH = 97, "[.;,\\n]", "[A-Z]", 400
+
+
+def line_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line that holds each of a text's positions: tiles joined to positions by bins and a sweep (G9 over a long table)."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    tiles = intervals.line_offsets(docs, "doc_id", "text").withColumn("end", F.col("start") + F.col("length") + 1)
+    positions = docs.filter(F.length("text") > 0).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long") - 1, F.lit(STEP).cast("long"))).alias("at"))
+    return intervals.tile_at(positions, tiles, "doc_id", "at", "start", "end", ["line_no"]).select("doc_id", "at", F.col("line_no").cast("long").alias("line_no"))
+
+
+LINE_AT_SQL = f"""
+WITH p AS (SELECT doc_id, text, unnest(range(0, length(text), {STEP})) AS "at" FROM documents)
+SELECT doc_id, "at", length(substring(text, 1, "at")) - length(replace(substring(text, 1, "at"), chr(10), '')) AS line_no FROM p
+"""
+
+
+def section_kinds_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section that holds each of a summary's positions."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("Шапка\nДиагноз: "), F.repeat(F.lit("боль "), F.pmod(k, F.lit(7)).cast("int")), F.lit("\nЖалобы\n"), F.repeat(F.lit("а"), F.pmod(k, F.lit(11)).cast("int")), F.lit("\nЭКГ: норма"))
+    docs = _table(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("anon_text"))
+    positions = docs.select("doc_id", F.explode(F.sequence(F.lit(-1).cast("long"), F.length("anon_text").cast("long"), F.lit(9).cast("long"))).alias("at"))
+    found = sections.section_at(sections.segment(docs), positions)
+    return found.select(F.col("doc_id").alias("o_orderkey"), "at", "kind", F.col("section_start").cast("long").alias("start"))
+
+
+SECTION_AT_SQL = """
+WITH t AS (SELECT o_orderkey, 6 AS d, 6 + 9 + 5 * (o_orderkey % 7) + 1 AS h, 6 + 9 + 5 * (o_orderkey % 7) + 1 + 7 + o_orderkey % 11 + 1 AS e FROM orders),
+s AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS bare, e + 10 AS n FROM t),
+p AS (SELECT *, unnest(range(-1, n + 1, 9)) AS "at" FROM s)
+SELECT o_orderkey, "at", CASE WHEN "at" < 0 OR "at" >= n THEN NULL WHEN "at" < d THEN 'header' WHEN "at" < h THEN 'diagnosis' WHEN "at" < e THEN 'history' ELSE 'ecg' END AS kind,
+  CAST(CASE WHEN "at" < 0 OR "at" >= n THEN NULL WHEN "at" < d THEN 0 WHEN "at" < h THEN d WHEN "at" < e THEN h ELSE e END AS BIGINT) AS start FROM p
+"""
+
+
+def left_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each capital letter of a text, where its clause begins: the last sign before it, by an as-of join (X7 over long tables)."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ends = lambda sign: intervals.line_offsets(docs, "doc_id", "text", sign).filter("line_no > 0").select("doc_id", (F.col("start") - 1).alias("at"), F.col("start").alias("end"))
+    return intervals.left_bounds(ends(CAPITAL).drop("end"), ends(SIGN), "doc_id", "at", REACH)
+
+
+LEFT_SQL = rf"""
+WITH c AS (SELECT doc_id, text, unnest(string_split_regex(text, '{CAPITAL}')) AS part, generate_subscripts(string_split_regex(text, '{CAPITAL}'), 1) AS i FROM documents),
+p AS (SELECT doc_id, text, i, CAST(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - 1 AS "at" FROM c),
+m AS (SELECT doc_id, "at", greatest("at" - {REACH}, 0) AS lo, substring(text, greatest("at" - {REACH}, 0) + 1, "at" - greatest("at" - {REACH}, 0)) AS before FROM p WHERE "at" < length(text))
+SELECT doc_id, "at", "at" - length(regexp_extract(before, '[^.;,\n]*\z')) AS "left" FROM m
+"""
+
 PAIRS: tuple[tuple[Query, str], ...] = (
     (section_tiles, SECTION_SQL), (section_audit, AUDIT_SQL), (personal_lines, PERSONAL_SQL), (residual_kinds, RESIDUAL_SQL), (spans_in_rows, SPANS_SQL), (clause_negation, NEGATION_SQL), (scope_order, SCOPE_SQL), (sentence_places, SENTENCE_SQL),
     (norm_words, WORDS_SQL), (result_violations, VIOLATION_SQL), (nested_results, NESTED_SQL), (judged_findings, JUDGED_SQL), (score_rates, RATES_SQL), (gold_compared, COMPARED_SQL), (warning_kinds, WARNING_SQL), (batch_statuses, STATUS_SQL),
-    (stored_documents, STORED_SQL), (read_encodings, ENCODING_SQL),
+    (stored_documents, STORED_SQL), (read_encodings, ENCODING_SQL), (line_at, LINE_AT_SQL), (section_kinds_at, SECTION_AT_SQL), (left_boundaries, LEFT_SQL),
 )
 
 
