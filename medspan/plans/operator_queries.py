@@ -3,14 +3,19 @@ them, and SQL that says what must come out."""
 
 from __future__ import annotations
 
+import io
+import json
+import re
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medspan.functions import contract, normal, search
-from medspan.operators import deid, intervals, sections, verify
+from medspan.operators import deid, intervals, model_fill, sections, verify
 from medspan.plans import process, score, sinks
+from medspan.plans.shared import shared_folder
 from medspan.sources.documents import read_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -305,18 +310,25 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 7 = 0 THEN 'failed'
 """
 
 
-def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three tables of the store, made from processed documents and joined again."""
+def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     finding = F.struct(F.lit("1").alias("value"), F.col("source").alias("evidence"), F.lit(0).alias("start"), F.length("source").alias("end"), F.lit("rule").alias("source"))
-    done = _table(spark, sf_dir, "documents").select(
+    return _table(spark, sf_dir, "documents").select(
         d.cast("string").alias("doc_id"), F.concat(d.cast("string"), F.lit(".md")).alias("name"), F.sha2("text", 256).alias("sha256"), F.col("text").alias("anon_text"), F.when(d % 5 == 0, "failed").otherwise("ok").alias("status"), F.array().cast("array<string>").alias("warnings"), F.create_map(F.lit("dm"), finding).alias("fields")
     )
-    joined = sinks.joined(*(sinks.store_tables(done)[t] for t in ("documents", "extractions", "results")))
+
+
+def _joined(tables: dict[str, DataFrame]) -> DataFrame:
+    joined = sinks.joined(*(tables[t] for t in ("documents", "extractions", "results")))
     value = F.col("fields")["dm"]
     return joined.select("filename", "status", value["value"].alias("value"), value["evidence"].alias("evidence"), F.get_json_object("json", "$.диагноз.dm").alias("dm"), F.get_json_object("json", "$.диагноз.copd").alias("copd"))
 
 
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three tables of the store, made from processed documents and joined again."""
+    return _joined(sinks.store_tables(_processed(spark, sf_dir)))
+
+
 STORED_SQL = "SELECT doc_id || '.md' AS filename, 'ok' AS status, '1' AS value, source AS evidence, '1' AS dm, '0' AS copd FROM documents WHERE doc_id % 5 <> 0"
 
 
@@ -385,15 +397,123 @@ m AS (SELECT doc_id, "at", greatest("at" - {REACH}, 0) AS lo, substring(text, gr
 SELECT doc_id, "at", "at" - length(regexp_extract(before, '[^.;,\n]*\z')) AS "left" FROM m
 """
 
+# --- failures, answers and the store
+
+_XML = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>ЭКГ: норма</w:t></w:r></w:p></w:body></w:document>'
+
+
+def _office(head: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(zipfile.ZipInfo("word/document.xml"), head + _XML)
+    return out.getvalue()
+
+
+def isolated_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Office files of an unknown encoding among good ones and texts: each failure stays in its row."""
+    k = F.col("doc_id")
+    kind = F.pmod(k, F.lit(5)).cast("int")
+    name = F.concat(k.cast("string"), F.when(kind < 3, ".docx").otherwise(".txt"))
+    files = [F.lit(_office('<?xml version="1.0" encoding="no-such-code"?>')), F.lit(_office('<?xml version="1.0"?>')), F.lit(b"PK no archive"), F.col("text").cast("binary"), F.lit(b" ")]
+    found = read_files(_table(spark, sf_dir, "documents").select(name.alias("name"), F.get(F.array(*files), kind).alias("content")))
+    done = process.process(found)
+    return done.select("doc_id", "status", "error", F.col("fields")["dm"]["value"].alias("dm"), F.col("encoding"))
+
+
+ISOLATED_SQL = f"""
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 5 IN (1, 3) THEN 'ok' ELSE 'failed' END AS status, {_sql_pick("doc_id", "extract:LookupError", None, "bad_docx", None, "empty_document")} AS error, '0' AS dm,
+  {_sql_pick("doc_id", None, "docx", None, "utf-8", None)} AS encoding FROM documents
+"""
+
+
+class ScriptedClient:
+    """A model that finds the first number of a text, and fails as the number says."""
+
+    def chat(self, messages: list[dict], schema: dict) -> str:
+        asked = json.loads(messages[1]["content"])
+        n = int(re.search(r"\d+", asked["text"])[0])
+        if n % 5 == 1:
+            raise ArithmeticError
+        if n % 5 == 2:
+            return "no JSON"
+        if n % 5 == 3:
+            raise model_fill.ModelUnavailable("TimeoutError")
+        quote = f"пульс {n % 90 + 40}" if n % 5 == 0 else "пульс, которого нет в тексте"
+        value = {"value": str(n % 90 + 40), "evidence": quote}
+        return json.dumps({f: value if f == "ecg_bpm" else {"value": contract.default(f), "evidence": ""} for f in asked["fields"]})
+
+
+def model_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answers with and without quotations, half answers, an absent model and failures, through the answer table."""
+    k = F.col("o_orderkey")
+    none = F.array().cast("array<struct<field:string,value:string,evidence:string,start:int,end:int,source:string>>")
+    text = F.concat(F.lit("Запись "), k.cast("string"), F.lit(": пульс "), F.pmod(k, F.lit(90)) + 40, F.lit(" в минуту"))
+    docs = _table(spark, sf_dir, "orders").select(k, text.alias("anon_text"), none.alias("found"))
+    done = model_fill.fill(docs, ScriptedClient, shared_folder(spark, "answers"), "scripted", pause=0.0)
+    first = F.get("found", F.lit(0))
+    return done.select("o_orderkey", F.size("found").cast("long").alias("n_found"), first["value"].alias("ecg_bpm"), first["start"].cast("long").alias("start"), first["evidence"].alias("evidence"), "model_warning", "model_failure")
+
+
+MODEL_SQL = f"""
+SELECT o_orderkey, CAST(o_orderkey % 5 = 0 AS BIGINT) AS n_found, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 90 + 40 AS VARCHAR) END AS ecg_bpm,
+  CASE WHEN o_orderkey % 5 = 0 THEN 9 + length(CAST(o_orderkey AS VARCHAR)) END AS start, CASE WHEN o_orderkey % 5 = 0 THEN 'пульс ' || (o_orderkey % 90 + 40) END AS evidence,
+  {_sql_pick("o_orderkey", None, None, "llm_partial", "llm_unavailable:TimeoutError", "llm_partial")} AS model_warning, {_sql_pick("o_orderkey", None, "extract:ArithmeticError", None, None, None)} AS model_failure FROM orders
+"""
+
+
+def saved_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after a part, the whole, and the whole again were saved: each document once, with its fields and result."""
+    tables = sinks.store_tables(_processed(spark, sf_dir))
+    where = shared_folder(spark, "store")
+    part = tables["documents"].filter(F.col("filename") < "5")
+    of_part = lambda t: t.join(part.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    sinks.save({"documents": part, "extractions": of_part(tables["extractions"]), "results": of_part(tables["results"])}, where)
+    for _ in range(2):
+        sinks.save(tables, where)
+    return _joined({name: spark.read.parquet(f"{where}/{name}") for name in sinks.KEYS})
+
+
+# code pages of old exports, and the letters of Latin prose as Russian ones of like frequency; bytes of a code page are written as Latin-1
+PAGES = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
+LATIN, RUSSIAN = "etaoinshrdlcumwfgypbvkjxqz", "оеаинтсрвлкмдпуяыьгзбчйхжш"
+
+
+def code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in Russian letters, in four legacy code pages and in UTF-8 with letters taken apart."""
+    k, both = F.col("doc_id"), (LATIN + LATIN.upper(), RUSSIAN + RUSSIAN.upper())
+    plain = F.concat(F.lit("Явка в отделение: "), F.translate(F.regexp_replace("text", r"[^A-Za-z \n.,]", ""), *both))
+    coded = [F.encode(F.translate(plain, both[1], both[1].encode(p).decode("latin-1")), "ISO-8859-1") for p in PAGES]
+    content = F.get(F.array(*coded, F.replace(plain, F.lit("й"), F.lit("и\u0306")).cast("binary")), F.pmod(k, F.lit(5)).cast("int"))
+    return read_files(_table(spark, sf_dir, "documents").select(F.concat(k.cast("string"), F.lit(".txt")).alias("name"), content.alias("content"))).select("doc_id", "encoding", "sha256", "error")
+
+
+PAGES_SQL = f"""
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_sql_pick("doc_id", *PAGES, "utf-8")} AS encoding, sha256('Явка в отделение: ' || translate(regexp_replace(text, '[^A-Za-z \n.,]', '', 'g'), '{LATIN + LATIN.upper()}', '{RUSSIAN + RUSSIAN.upper()}')) AS sha256, CAST(NULL AS VARCHAR) AS error FROM documents
+"""
+
+
+def approximate_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotations with a letter left out and one replaced, found again in the whole page (V2c); tested against all windows."""
+    letters = lambda a, n: F.substring("html", a, n)
+    rows = _table(spark, sf_dir, "pages").select("page_id", "html", F.concat(letters(120, 14), letters(135, 24), F.lit("#"), letters(160, 20)).alias("quote"))
+    found = verify.locate(rows, "html", "quote", "at", "error")
+    return found.select("page_id", F.col("at.start").alias("start"), F.col("at.end").alias("end"), "error")
+
+
 PAIRS: tuple[tuple[Query, str], ...] = (
     (section_tiles, SECTION_SQL), (section_audit, AUDIT_SQL), (personal_lines, PERSONAL_SQL), (residual_kinds, RESIDUAL_SQL), (spans_in_rows, SPANS_SQL), (clause_negation, NEGATION_SQL), (scope_order, SCOPE_SQL), (sentence_places, SENTENCE_SQL),
     (norm_words, WORDS_SQL), (result_violations, VIOLATION_SQL), (nested_results, NESTED_SQL), (judged_findings, JUDGED_SQL), (score_rates, RATES_SQL), (gold_compared, COMPARED_SQL), (warning_kinds, WARNING_SQL), (batch_statuses, STATUS_SQL),
     (stored_documents, STORED_SQL), (read_encodings, ENCODING_SQL), (line_at, LINE_AT_SQL), (section_kinds_at, SECTION_AT_SQL), (left_boundaries, LEFT_SQL),
+    (isolated_failures, ISOLATED_SQL), (model_findings, MODEL_SQL), (saved_twice, STORED_SQL), (code_pages, PAGES_SQL),
 )
 
 
+# tested against brute force
+PLAIN: tuple[Query, ...] = (approximate_quotes,)
+
+
 def queries() -> dict[str, Query]:
-    return {query.__name__: query for query, _ in PAIRS}
+    return {query.__name__: query for query in (*[q for q, _ in PAIRS], *PLAIN)}
 
 
 def oracle_sql() -> dict[str, str]:
