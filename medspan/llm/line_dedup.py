@@ -20,7 +20,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspan.llm.common import durable, table
+from medspan.llm.common import durable, quoted, table
 
 GRAM, WINDOW = 2, 2
 MIN_LINES = GRAM + WINDOW - 1
@@ -102,7 +102,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int =
     numbers = F.transform(f"{OWN}at", lambda x: x["n"])
     kept = F.array_except(F.sequence(F.lit(0), F.size(f"{OWN}lines") - 1), F.transform(f"{OWN}at", lambda x: x["place"]))
     return rows.select(
-        *[F.array_join(F.when(F.col(f"{OWN}at").isNull(), F.col(f"{OWN}lines")).otherwise(F.transform(kept, lambda i: F.get(f"{OWN}lines", i))), "\n").alias(text) if c == text else F.col(c) for c in docs.columns],
+        *[F.array_join(F.when(F.col(f"{OWN}at").isNull(), F.col(f"{OWN}lines")).otherwise(F.transform(kept, lambda i: F.get(f"{OWN}lines", i))), "\n").alias(text) if c == text else quoted(c) for c in docs.columns],
         F.greatest(F.lit(0), F.coalesce(f"{OWN}solid", F.lit(0))).cast("long").alias("lines_before"),
         F.when(F.col(f"{OWN}at").isNull(), 0).otherwise(F.size(f"{OWN}at")).cast("long").alias("lines_removed"),
         F.when(F.col(f"{OWN}at").isNull(), 0).otherwise(F.size(F.array_except(numbers, F.transform(f"{OWN}at", lambda x: x["n"] + 1)))).cast("long").alias("runs_removed"),

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from medspan.functions.search import let
-from medspan.llm.common import table
+from medspan.llm.common import quoted, table
 from medspan.llm.hashing import SPACE, chunks
 
 LEAST_WORDS, LEAST_TIMES = 24, 3
@@ -180,7 +180,6 @@ def collapse(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS
         raise ValueError("runs repeat three times or more")
     carried = [c for c in docs.columns if c not in ("n_words", "runs", "collapsed")]
     own = [f"c{i}" for i in range(len(carried))]
-    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     rows = docs.select(*[quoted(c).alias(n) for c, n in zip(carried, own)], quoted(text).alias("text"))
     more = [StructField("n_words", LongType()), StructField("runs", ArrayType(RUN)), StructField("collapsed", StringType())]
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medspan.llm.common import durable, table
+from medspan.llm.common import durable, quoted, table
 from medspan.llm.hashing import PLAIN, U64, bytes_of, chunks, mix, powers, prefix
 
 LENGTH, GRAM = 400, 128
@@ -345,7 +345,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     out = _identified(docs, key, text).join(cut, OWN, "left")
     # make_valid puts U+FFFD where a character was cut
     clean = F.regexp_replace(F.expr(f"make_valid_utf8(cast(`{REST}` as string))"), "\ufffd", "")
-    return out.withColumn(text, F.when(F.col(REST).isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
+    return out.withColumn(text, F.when(F.col(REST).isNull(), F.col(text)).otherwise(clean)).select(*map(quoted, docs.columns))
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

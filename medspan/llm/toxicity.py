@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from medspan.llm.common import table
+from medspan.llm.common import quoted, table
 
 TRAIN_ROWS = 20_000
 FOLDS, HELD_OUT = 5, 0
@@ -116,8 +116,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     fold_of = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(FOLDS))
     chosen = labels.filter((fold_of != HELD_OUT) & F.col(label).isin(0, 1)).select(F.col(key).alias("__k"), F.col(label).alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("__k"), "__k", "__y").limit(rows)  # TRAIN_ROWS bounds what is broadcast
-    texts = docs.select(F.col(key).alias("__key"), fold(F.col(text)).alias("folded"))
-    seen = texts.join(F.broadcast(chosen), F.col("__key") == F.col("__k")).select("__y", "folded")
+    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    seen = texts.join(F.broadcast(chosen), F.col("__key") == F.col("__k")).select("__y", fold(F.col("__text")).alias("folded"))
     train = seen.withColumn("__s", _signature(F.col("folded"))).dropDuplicates(["__y", "__s"]).select("__y", "folded").persist()
     try:
         totals = {r["__y"]: r["count"] for r in train.groupBy("__y").count().collect()}
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def keep(docs: DataFrame, model: Model, text: str = "text", below: float = 0.5) -> DataFrame:
     """The rows of docs that score under `below`, all columns as they are."""
-    carried = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], fold(F.col(text)).alias("folded"))
+    carried = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], fold(F.col(text)).alias("folded"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     schema = StructType([StructField(n, carried.schema[n].dataType) for n in names] + [StructField("weight", DoubleType()), StructField("words", LongType())])
     found = carried.mapInArrow(_features(model, names), schema)

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from medspan.llm import fingerprint, line_dedup, media, ngram_join, packing, sentencepiece_sampling, sharding, suffix_dedup, toxicity, url_filter
+from medspan.llm import chat_format, fingerprint, line_dedup, media, ngram_join, packing, periodic_runs, sentencepiece_sampling, sharding, spelling_variants, suffix_dedup, toxicity, url_filter
 
 
 def rows_of(docs):
@@ -87,7 +87,7 @@ def test_line_dedup_finds_long_passages_on_one_and_two_lines(spark):
 
 def test_names_of_columns_do_not_clash(spark, odd_docs, tmp_path):
     """Every operator over a table whose other columns are named like the operators' own."""
-    names = ("u", "v", "rest", "lo", "at", "gram", "folded", "weight", "words", "__k", "__y", "__key", "__hash", "__at", "__slice", "__n", "node", "token", "rank", "label", "host", "rule")
+    names = ("u", "v", "rest", "lo", "at", "gram", "folded", "weight", "words", "__k", "__y", "__key", "__hash", "__at", "__slice", "__n", "node", "token", "rank", "label", "host", "rule", "doc id.x", "a`b", "text.y")
     docs = odd_docs.select("doc_id", "text").filter("doc_id <> 60 or doc_id is null").withColumns({n: F.lit(1) for n in names})
     docs = docs.withColumns({"html": F.col("text"), "url": F.concat(F.lit("http://a.com/"), "doc_id")})
     marks = spark.createDataFrame([(i, i % 2, "x") for i in range(1, 12)], "doc_id long, toxic int, folded string")
@@ -99,6 +99,10 @@ def test_names_of_columns_do_not_clash(spark, odd_docs, tmp_path):
     assert packing.pack(docs).count() >= n and sentencepiece_sampling.sample(docs, k=1).count() == n
     assert suffix_dedup.dedup(docs, length=60, gram=20).columns == docs.columns
     assert url_filter.judge(docs.withColumnRenamed("doc_id", "page_id")).count() == n
+    assert periodic_runs.collapse(docs).columns == [*docs.columns, "n_words", "runs", "collapsed"]
+    assert spelling_variants.group(spelling_variants.counted(docs, least_letters=1, least_count=1)).count() > 0
+    talk = docs.select("*", F.col("doc_id").alias("conv_id"), F.col("doc_id").alias("turn"), F.col("text").alias("role"))
+    assert chat_format.read_back(chat_format.render(chat_format.fold(chat_format.replayed(talk)))).count() == talk.select("conv_id").distinct().count()
 
 
 # --- n-gram join
