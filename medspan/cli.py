@@ -6,21 +6,16 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from medspan.functions.contract import RESULT, flatten, violations
 from medspan.operators import model_fill
 from medspan.plans import process, score, sinks
+from medspan.plans.shared import settled
 from medspan.sources.documents import SourceError, file_name, read_directory
 
 
-def _settled(rows: DataFrame, path: str) -> DataFrame:
-    """rows as a table: the long lineage of rules is planned and run once, whatever is written from it."""
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.parquet(path)
-
-
 def _batch(spark: SparkSession, args: argparse.Namespace) -> int:
     docs = read_directory(spark, args.input).persist()
     todo = docs
@@ -30,7 +25,7 @@ def _batch(spark: SparkSession, args: argparse.Namespace) -> int:
             done = old.select("doc_id", F.get_json_object("json", "$.sha256").alias("sha256"), F.get_json_object("json", "$.pipeline_version").alias("pipeline_version"), F.lit("ok").alias("status"))
             todo = process.pending(docs, done)
     client = None if args.no_llm else model_fill.from_env()
-    done = _settled(process.process(todo, (lambda: client) if client else None), f"{args.logs}/processed")
+    done = settled(process.process(todo, (lambda: client) if client else None), f"{args.logs}/processed")
     sinks.write_files(sinks.result_json(done), args.output)
     sinks.write_files(sinks.evidence_json(done), args.evidence)
     log = process.batch_log(docs, done).persist()
@@ -44,7 +39,7 @@ def _batch(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def _preprocess(spark: SparkSession, args: argparse.Namespace) -> int:
     docs = read_directory(spark, args.input)
-    ready = _settled(process.prepare(docs), f"{args.output}/prepared")
+    ready = settled(process.prepare(docs), f"{args.output}/prepared")
     ready.select("doc_id", F.to_json(F.struct("doc_id", "encoding", "sha256", "spans", "sections", "audit")).alias("json")).write.mode("overwrite").parquet(f"{args.output}/reports")
     ready.select("doc_id", "anon_text").write.mode("overwrite").parquet(f"{args.output}/anon")
     counts = {r[0]: r[1] for r in process.section_counts(ready).collect()}

@@ -1,13 +1,17 @@
 """The command line, the store and the stream, over a small folder."""
 
 import json
+import os
+import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from medspan import cli
 from medspan.functions import contract
-from medspan.plans import sinks
+from medspan.plans import process, sinks
+from medspan.sources import documents
 from medspan.streaming.ingest import ingest
 
 TEXT = "Пациент: Рябинина Вера, 73 года\nДиагноз: ХОБЛ. Killip II\nЭКГ: ритм синусовый, ЧСС 70"
@@ -60,9 +64,49 @@ def test_missing_folder(spark, tmp_path, capsys):
 
 
 def test_stream_into_the_store(spark, folder, tmp_path):
-    store = f"{tmp_path}/store"
-    for _ in range(2):  # a new checkpoint reads everything again; what the store has is left out
-        ingest(spark, str(folder), store, f"{tmp_path}/checkpoint-{_}").awaitTermination()
-        documents = sinks.load(spark, store, "documents")
-        assert documents.count() == 2 and documents.filter(F.col("filename") == "b.txt").count() == 1
-    assert spark.read.parquet(f"{store}/documents").count() == 2
+    store, source = f"{tmp_path}/store", tmp_path / "in"
+    shutil.copytree(folder, source)
+    (source / "d.md").write_bytes(b"x" * (documents.MAX_BYTES + 1))
+    log = lambda: sorted((r["doc_id"], r["status"], r["error"]) for r in spark.read.parquet(f"{store}/log/*/*").collect())
+    run = lambda checkpoint: ingest(spark, str(source), store, f"{tmp_path}/{checkpoint}").awaitTermination()
+    run("one")
+    first = [("a", "ok", None), ("b", "ok", None), ("c", "failed", "bad_docx"), ("d", "failed", "document_too_large")]
+    assert log() == first
+    assert sinks.load(spark, store, "documents").count() == 2 and sinks.load(spark, store, "extractions").count() == 100
+
+    (source / "late.md").write_text(TEXT + " поздно")
+    long_ago = time.time() - 3000 * 86400
+    os.utime(source / "late.md", (long_ago, long_ago))  # an old file that comes late
+    run("one")
+    assert log() == sorted([*first, ("late", "ok", None)])
+
+    run("two")  # another query reads everything again; what the store has is left out
+    cached = [("a", "cached", None), ("b", "cached", None), ("late", "cached", None)]
+    assert log() == sorted([*first, *first[2:], ("late", "ok", None), *cached])
+    assert spark.read.parquet(f"{store}/documents").count() == 3
+
+
+def test_a_failed_job_leaves_no_file(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").cast("string").alias("doc_id"), F.concat(F.lit('{"n": '), "id", F.lit("}")).alias("json")).repartition(4)
+    fails = F.udf(lambda x: x if x != "17" else 1 // 0)
+    target = tmp_path / "out"
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        sinks.write_files(rows.withColumn("doc_id", fails("doc_id")), str(target))
+    assert not target.exists() or os.listdir(target) == []
+    for folder in (str(target), f"file://{target}"):  # written again, files are replaced as wholes
+        sinks.write_files(rows, folder)
+        assert {p.name: json.loads(p.read_text())["n"] for p in target.iterdir()} == {f"{i}.json": i for i in range(40)}
+
+
+def test_the_table_of_done_documents_is_not_shuffled(spark):
+    rows = spark.range(500).select(F.col("id").cast("string").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"), F.when(F.col("id") % 10 == 0, "failed").otherwise("ok").alias("status"))
+    spark.sql("DROP TABLE IF EXISTS done_documents")
+    for part in (rows.filter("doc_id < '3'"), rows.filter("doc_id >= '3'")):
+        process.remember(part, "done_documents", 6)
+    new = rows.select("doc_id", "sha256").withColumn("sha256", F.when(F.col("doc_id") == "11", "changed").otherwise(F.col("sha256"))).unionByName(spark.createDataFrame([("new", "x"), (None, None)], "doc_id string, sha256 string"))
+    new = spark.createDataFrame(new.collect(), new.schema)
+    todo = process.pending_in(new, "done_documents")
+    plan = todo._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"] for r in todo.collect()} == {str(i) for i in range(0, 500, 10)} | {"11", "new", None}
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # the one of the new side
+    spark.sql("DROP TABLE done_documents")
