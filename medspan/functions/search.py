@@ -8,12 +8,14 @@ characters mark matches; `clean` takes them out of texts beforehand.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +65,22 @@ def cs(pattern: str) -> str:
     return f"(?Ud){pattern}"
 
 
+def once(build: Callable) -> Callable:
+    """build, a function of names that gives columns, run once a session for the same names. Columns only name what they refer to, so
+    that they serve any frame; the rules are some thousands of them, and putting those together takes seconds."""
+    held: dict = {}
+
+    @functools.wraps(build)
+    def run(*names: str):
+        context = SparkContext._active_spark_context
+        key = (context and context.applicationId, names)
+        if key not in held:
+            held[key] = build(*names)
+        return held[key]
+
+    return run
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
