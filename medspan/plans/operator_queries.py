@@ -16,7 +16,7 @@ from medspan.functions import contract, normal, search
 from medspan.operators import deid, intervals, model_fill, sections, verify
 from medspan.plans import process, score, sinks
 from medspan.plans.shared import shared_folder
-from medspan.sources.documents import read_files
+from medspan.sources.documents import read_files, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -397,6 +397,35 @@ m AS (SELECT doc_id, "at", greatest("at" - {REACH}, 0) AS lo, substring(text, gr
 SELECT doc_id, "at", "at" - length(regexp_extract(before, '[^.;,\n]*\z')) AS "left" FROM m
 """
 
+# --- scopes of whole summaries
+
+
+def therapy_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries whose drugs stand under recommendations, under treatment alone, under both, or under no heading, with values of
+    each customer's own, through masking, sections, rules and verification (T1-T3, and documents without headings)."""
+    k = F.col("c_custkey")
+    dose, pulse = (F.pmod(k, F.lit(80)) + 10).cast("string"), (F.pmod(k, F.lit(90)) + 50).cast("string")
+    drug = F.concat(F.lit("аспирин "), dose, F.lit(" мг утром"))
+    other = F.concat(F.lit("аспирин "), F.lit("5"), F.lit(" мг"))
+    lead = F.concat(F.lit("Выписка. Поступил 02.03.2023, выписан 09.03.2023. АД 130/80, пульс "), pulse, F.lit(". На ЭКГ синусовый ритм, ЧСС "), pulse, F.lit("."))
+    text = F.get(F.array(
+        F.concat(lead, F.lit("\nРекомендации:\n"), drug, F.lit("; диета")),
+        F.concat(lead, F.lit("\nЛечение: "), drug, F.lit("; покой")),
+        F.concat(lead, F.lit("\nЛечение: "), other, F.lit("\nРекомендации: "), drug, F.lit("; диета")),
+        F.concat(lead, F.lit("\nЛечение: "), other, F.lit("\nРекомендации: диета")),
+        F.concat(lead, F.lit(" Получал: "), drug, F.lit("; выписан домой")),
+    ), F.pmod(k, F.lit(5)).cast("int"))
+    docs = read_table(spread(_table(spark, sf_dir, "customer")).select(k.alias("doc_id"), text.alias("text")))
+    done = process.process(docs)
+    value = lambda f: F.col("fields")[f]["value"].alias(f)
+    return done.select("doc_id", value("aspirin"), value("admission_date"), value("discharge_date"), value("bp"), value("bpm"), value("ecg_bpm"), value("ecg_rythm"))
+
+
+THERAPY_SQL = """
+SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CASE WHEN c_custkey % 5 = 3 THEN 'не указано' WHEN c_custkey % 5 = 4 THEN 'не указано' ELSE 'Аспирин ' || (c_custkey % 80 + 10) || ' мг утром' END AS aspirin,
+  '02.03.2023' AS admission_date, '09.03.2023' AS discharge_date, '130/80' AS bp, CAST(c_custkey % 90 + 50 AS VARCHAR) AS bpm, CAST(c_custkey % 90 + 50 AS VARCHAR) AS ecg_bpm, 'синусовый' AS ecg_rythm FROM customer
+"""
+
 # --- failures, answers and the store
 
 _XML = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>ЭКГ: норма</w:t></w:r></w:p></w:body></w:document>'
@@ -504,7 +533,7 @@ PAIRS: tuple[tuple[Query, str], ...] = (
     (section_tiles, SECTION_SQL), (section_audit, AUDIT_SQL), (personal_lines, PERSONAL_SQL), (residual_kinds, RESIDUAL_SQL), (spans_in_rows, SPANS_SQL), (clause_negation, NEGATION_SQL), (scope_order, SCOPE_SQL), (sentence_places, SENTENCE_SQL),
     (norm_words, WORDS_SQL), (result_violations, VIOLATION_SQL), (nested_results, NESTED_SQL), (judged_findings, JUDGED_SQL), (score_rates, RATES_SQL), (gold_compared, COMPARED_SQL), (warning_kinds, WARNING_SQL), (batch_statuses, STATUS_SQL),
     (stored_documents, STORED_SQL), (read_encodings, ENCODING_SQL), (line_at, LINE_AT_SQL), (section_kinds_at, SECTION_AT_SQL), (left_boundaries, LEFT_SQL),
-    (isolated_failures, ISOLATED_SQL), (model_findings, MODEL_SQL), (saved_twice, STORED_SQL), (code_pages, PAGES_SQL),
+    (isolated_failures, ISOLATED_SQL), (model_findings, MODEL_SQL), (saved_twice, STORED_SQL), (code_pages, PAGES_SQL), (therapy_scopes, THERAPY_SQL),
 )
 
 
