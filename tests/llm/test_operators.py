@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import re
 import unicodedata
 import zlib
@@ -10,6 +11,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from medspan.llm import chat_format, fingerprint, line_dedup, media, ngram_join, packing, periodic_runs, sentencepiece_sampling, sharding, spelling_variants, suffix_dedup, toxicity, url_filter
@@ -519,3 +521,58 @@ def test_media_finds_turned_and_halved_copies(spark):
     for change in (lambda x, i: media.edit(media.turned(x, 0.4, 1.0), i), lambda x, i: media.turned(x, 0.0, 0.5)):
         got = media.copies(rows, every=2, edited=change).collect()
         assert sum(r["query_id"] == r["match_id"] for r in got) >= 24
+
+
+# --- plain recomputations of draws and likeness
+
+
+def spark_hash(*values):
+    """xxhash64 of longs, ints and strings, one after the other; nulls are passed over."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), h)
+    return h
+
+
+@pytest.mark.parametrize("weights", [None, {3: 2.5, 11: 0.2, 39: 4.0}])
+def test_the_descent_ends_at_the_shortest_straw_of_all(spark, weights):
+    keys = [None, -5, *range(1500)]
+    docs = spark.createDataFrame([(k,) for k in keys], "doc_id long").withColumn("text", F.lit("x"))
+    got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.shard(docs, weights=weights).collect()}
+
+    def plain(key, shards):
+        straw = lambda s: -math.log(((spark_hash(key, s.to_bytes(4, "little")) >> 11) + 1) / 2.0**53) / (weights or {}).get(s, 1.0)
+        return min(range(shards), key=straw)
+
+    assert got == {k: (plain(k, 40), plain(k, 41)) for k in keys}
+
+
+def test_likeness_equals_plain_sums_of_signs(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdé"), rng.integers(1, 5)))
+    texts = {i: " ".join(word() for _ in range(rng.integers(0, 60))).replace(" a ", "\n") for i in range(60)} | {60: "", 61: None, 62: " \n ", 63: "x", 64: "x"}
+    got = {r["doc_id"]: r for r in fingerprint.edited_pairs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+
+    def like(text):
+        lanes = np.zeros(fingerprint.LIKE_LANES)
+        for paragraph in text.split("\n"):
+            words = re.findall(r"[^\x20\x09-\x0D]+", paragraph)
+            for a, b in zip(words, [*words[1:], None]):
+                h = spark_hash(a, b)
+                half = fingerprint.LIKE_LANES // 2
+                lanes += [1 if h >> (j if j < half else 32 + j - half) & 1 else -1 for j in range(fingerprint.LIKE_LANES)]
+        return lanes
+
+    def near(x, y):
+        a, b = like(x), like(y)
+        same = sorted(x.split("\n")) == sorted(y.split("\n"))
+        scale = np.sqrt((a @ a) * (b @ b))
+        return 1.0 if same else 0.0 if scale == 0 else min(1.0, max(0.0, a @ b / scale))
+
+    order = sorted(texts, reverse=True)
+    for key, nxt in zip(order, order[1:] + order[:1]):
+        text, other = texts[key] or "", texts[nxt] or ""
+        half = len(text) // 2
+        assert got[key]["near_next"] == pytest.approx(near(text, other))
+        assert got[key]["near_edited"] == pytest.approx(near(text, text[: len(text) - half] + other[:half]))
