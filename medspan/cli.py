@@ -25,7 +25,7 @@ def _batch(spark: SparkSession, args: argparse.Namespace) -> int:
             done = old.select("doc_id", F.get_json_object("json", "$.sha256").alias("sha256"), F.get_json_object("json", "$.pipeline_version").alias("pipeline_version"), F.lit("ok").alias("status"))
             todo = process.pending(docs, done)
     client = None if args.no_llm else model_fill.from_env()
-    done = settled(process.process(todo, (lambda: client) if client else None), f"{args.logs}/processed")
+    done = settled(process.process(todo, (lambda: client) if client else None, args.answers or None, client.model if client else ""), f"{args.logs}/processed")
     sinks.write_files(sinks.result_json(done), args.output)
     sinks.write_files(sinks.evidence_json(done), args.evidence)
     log = process.batch_log(docs, done).persist()
@@ -93,7 +93,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     sub = parser.add_subparsers(dest="command", required=True)
     batch = sub.add_parser("batch")
     batch.add_argument("--input", required=True)
-    for name, value in (("output", "result"), ("evidence", "result_evidence"), ("logs", "logs"), ("db", "")):
+    for name, value in (("output", "result"), ("evidence", "result_evidence"), ("logs", "logs"), ("db", ""), ("answers", "")):
         batch.add_argument(f"--{name}", default=value)
     batch.add_argument("--force", action="store_true")
     batch.add_argument("--no-llm", action="store_true")
@@ -104,7 +104,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for name, value in (("pred", "result"), ("docs", ""), ("gold", "eval/gold"), ("evidence", "result_evidence"), ("mismatches", "logs/mismatches")):
         marks.add_argument(f"--{name}", default=value)
     args = parser.parse_args(argv)
-    spark = spark or SparkSession.builder.appName("medspan").getOrCreate()
+    # call sites of columns are not recorded: the rules are some thousands of columns, and it would double the time to build them
+    spark = spark or SparkSession.builder.appName("medspan").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     try:
         return {"batch": _batch, "preprocess": _preprocess, "score": _score}[args.command](spark, args)
     except SourceError as error:

@@ -16,7 +16,7 @@ from medspan.functions import contract, normal, search
 from medspan.operators import deid, intervals, model_fill, sections, verify
 from medspan.plans import process, score, sinks
 from medspan.plans.shared import shared_folder
-from medspan.sources.documents import read_files, read_table, spread
+from medspan.sources.documents import read_directory, read_files, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -502,6 +502,45 @@ def saved_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined({name: spark.read.parquet(f"{where}/{name}") for name in sinks.KEYS})
 
 
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results and evidence as one file a document, and the list of failures, written and read again (K1, K2, K3, K5)."""
+    done, folder = _processed(spark, sf_dir), shared_folder(spark, "files")
+    sinks.write_files(sinks.result_json(done), f"{folder}/result")
+    sinks.write_files(sinks.evidence_json(done), f"{folder}/evidence")
+    sinks.write_failures(done.withColumn("error", F.concat(F.lit("code:"), "name")), f"{folder}/failed")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)\.json\z", 1).alias("doc_id")
+    files = lambda kind: spark.read.text(f"{folder}/{kind}/*.json", wholetext=True).select(name, F.col("value").alias(kind))
+    failed = spark.read.option("header", True).csv(f"{folder}/failed")
+    rows = files("result").join(files("evidence"), "doc_id", "left").join(failed, "doc_id", "left")
+    of = lambda column, path: F.get_json_object(column, path)
+    return rows.select("doc_id", of("result", "$.диагноз.dm").alias("dm"), of("result", "$.диагноз.copd").alias("copd"), of("evidence", "$.sha256").alias("sha256"), of("evidence", "$.fields.dm.evidence").alias("evidence"), "error")
+
+
+FILES_SQL = """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, '1' AS dm, '0' AS copd, CASE WHEN doc_id % 5 <> 0 THEN sha256(text) END AS sha256, CASE WHEN doc_id % 5 <> 0 THEN source END AS evidence,
+  CASE WHEN doc_id % 5 = 0 THEN 'code:' || doc_id || '.md' END AS error FROM documents
+"""
+
+
+def read_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as files of a folder, with hidden, locked, foreign and too large ones among them, scanned and read."""
+    k, folder = F.col("doc_id"), shared_folder(spark, "folder")
+    kind = F.pmod(k, F.lit(9)).cast("int")
+    before, after = F.get(F.array(*map(F.lit, ("", "", "", ".", "~$", "", "", "", ""))), kind), F.get(F.array(*map(F.lit, (".md", ".TXT", ".txt", ".md", ".md", ".pdf", ".docx", ".md", ".md"))), kind)
+    content = F.when((kind == 7) & (k % 10 == 7), F.repeat("text", F.ceil(2_000_001 / F.greatest(F.octet_length("text"), F.lit(1))).cast("int"))).when(kind == 8, F.replace("text", F.lit(" "), F.lit("\r\n"))).otherwise(F.col("text"))
+    files = _table(spark, sf_dir, "documents").select(F.concat(before, k.cast("string"), after).alias("name"), content.alias("content"))
+    sinks.write_named(files, folder)
+    return read_directory(spark, folder).select("doc_id", "name", "encoding", "sha256", "error")
+
+
+_TOO_LARGE = "(doc_id % 9 = 7 AND doc_id % 10 = 7 AND text <> '')"
+FOLDER_SQL = f"""
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id || {_sql_pick("doc_id", ".md", ".TXT", ".txt", "", "", "", ".docx", ".md", ".md")} AS name, CASE WHEN doc_id % 9 <> 6 AND NOT {_TOO_LARGE} THEN 'utf-8' END AS encoding,
+  CASE WHEN doc_id % 9 = 6 OR {_TOO_LARGE} THEN NULL WHEN doc_id % 9 = 8 THEN sha256(replace(text, ' ', chr(10))) ELSE sha256(text) END AS sha256,
+  CASE WHEN doc_id % 9 = 6 THEN 'bad_docx' WHEN {_TOO_LARGE} THEN 'document_too_large' END AS error
+FROM documents WHERE doc_id % 9 NOT IN (3, 4, 5)
+"""
+
 # code pages of old exports, and the letters of Latin prose as Russian ones of like frequency; bytes of a code page are written as Latin-1
 PAGES = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
 LATIN, RUSSIAN = "etaoinshrdlcumwfgypbvkjxqz", "оеаинтсрвлкмдпуяыьгзбчйхжш"
@@ -533,7 +572,7 @@ PAIRS: tuple[tuple[Query, str], ...] = (
     (section_tiles, SECTION_SQL), (section_audit, AUDIT_SQL), (personal_lines, PERSONAL_SQL), (residual_kinds, RESIDUAL_SQL), (spans_in_rows, SPANS_SQL), (clause_negation, NEGATION_SQL), (scope_order, SCOPE_SQL), (sentence_places, SENTENCE_SQL),
     (norm_words, WORDS_SQL), (result_violations, VIOLATION_SQL), (nested_results, NESTED_SQL), (judged_findings, JUDGED_SQL), (score_rates, RATES_SQL), (gold_compared, COMPARED_SQL), (warning_kinds, WARNING_SQL), (batch_statuses, STATUS_SQL),
     (stored_documents, STORED_SQL), (read_encodings, ENCODING_SQL), (line_at, LINE_AT_SQL), (section_kinds_at, SECTION_AT_SQL), (left_boundaries, LEFT_SQL),
-    (isolated_failures, ISOLATED_SQL), (model_findings, MODEL_SQL), (saved_twice, STORED_SQL), (code_pages, PAGES_SQL), (therapy_scopes, THERAPY_SQL),
+    (isolated_failures, ISOLATED_SQL), (model_findings, MODEL_SQL), (saved_twice, STORED_SQL), (code_pages, PAGES_SQL), (therapy_scopes, THERAPY_SQL), (result_files, FILES_SQL), (read_folder, FOLDER_SQL),
 )
 
 
