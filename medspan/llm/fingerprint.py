@@ -7,7 +7,7 @@ they decide equality. LIKE_LANES lanes of 16 bits add +1 or -1 for each pair of
 such signs keep angles, so the cosine of two fingerprints estimates how far the texts' word pairs agree. It is computed from
 the fingerprints alone.
 
-Null text counts as empty; an empty text's fingerprint is all zeros and is like another empty one only. One-word paragraphs
+A very long text is summed paragraph by paragraph, in parts of any size. Null text counts as empty; an empty text's fingerprint is all zeros and is like another empty one only. One-word paragraphs
 have the word alone as their pair. Rows are ordered by doc_id descending (nulls last), then by text; repeated rows are
 neighbours. Extra columns are ignored. An empty table gives an empty result.
 """

@@ -8,7 +8,7 @@ extends both ways. Shorter runs count too if they have LONG_RUN bytes or more, a
 one or two lines: such a run is a fingerprint of its own. A run is kept where it occurs first, in order of (doc_id, line), and deleted wherever it occurs later,
 in the same document too.
 
-Null text has no lines and stays null. Blank lines are never compared or deleted. Documents under MIN_LINES lines and
+Very long texts are cut into lines within their row, once, in time in proportion. Null text has no lines and stays null. Blank lines are never compared or deleted. Documents under MIN_LINES lines and
 LONG_RUN bytes keep all; a document all of whose lines are later repeats stays as an empty one. A null doc_id sorts first. Rows that repeat both doc_id and text are the same document and are treated alike. Extra columns
 are kept by `dedup` and ignored otherwise. An empty table gives an empty result.
 """

@@ -20,7 +20,8 @@ What passes through the driver or is broadcast: the long lists' names and length
 long only from total / MOST_LONG entries up; and ids of documents to compare, when fewer than MOST_BROADCAST (else a shuffle).
 
 Null, empty or blank text has no set and links with nothing. A document without an id has links through equal sets only.
-Repeated rows are one class. Extra columns are ignored. An empty table gives an empty result.
+Repeated rows are one class. A very long text is one long set: hashed by the slice, sorted within one task, and split among tasks where
+lists are merged. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ shortest of exponentials is again an exponential with the summed rate, so each l
 the weight below it. A row descends along the shortest straw. Changing a weight changes the straws on one path only, so
 rows move only into or out of that subtree, and a new shard takes rows only into itself.
 
-Nulls: a null key draws like any other value. Null text has 0 bytes. Empty table: empty result. Repeated rows share a
+A very long text is read once, for its size and checksum, and not moved. Nulls: a null key draws like any other value. Null text has 0 bytes. Empty table: empty result. Repeated rows share a
 shard and get slots of their own. Columns other than key and text are ignored.
 """
 

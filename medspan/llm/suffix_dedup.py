@@ -19,7 +19,7 @@ queue, and suffix tuples that carry their bytes and common-prefix values:
 Only agreement over LENGTH bytes is asked for, so suffixes are sorted as far as that. Names of ranges are 64-bit hashes compared within a
 64-bit gram hash; rows are told apart by 128 bits of key and text. Matches never cross documents.
 
-Null text counts as empty. Texts shorter than LENGTH bytes keep everything. Repeated rows are documents of their own, so
+Very long texts are anchored in time in proportion, and only their anchors' ranges are shuffled. Null text counts as empty. Texts shorter than LENGTH bytes keep everything. Repeated rows are documents of their own, so
 their bytes repeat. A null doc_id is an ordinary value. Extra columns, whatever their names, are ignored by `spans` and kept
 by `dedup`. An empty table gives an empty result.
 """

@@ -11,7 +11,8 @@ same labelled rows. TRAIN_ROWS bounds how many labelled rows are fitted to (thos
 them lexicon and exceptions, which have no bound of their own;
 everything else covers all rows and whole texts.
 
-Null text counts as empty. A text without hits gets the lowest score, an empty one too. Without labelled rows of both classes
+Very long texts are folded and scanned whole, in time in proportion; their score is by density as well as by weight. Null text counts as
+empty. A text without hits gets the lowest score, an empty one too. Without labelled rows of both classes
 every score is the share of toxic labels (0.5 without any). Repeated rows are scored alike. A null doc_id is never in the
 training part. Extra columns are ignored, and an empty table gives an empty result.
 """
