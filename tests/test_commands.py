@@ -92,10 +92,12 @@ def test_a_failed_job_leaves_no_file(spark, tmp_path):
     target = tmp_path / "out"
     with pytest.raises(Exception, match="ZeroDivisionError"):
         sinks.write_files(rows.withColumn("doc_id", fails("doc_id")), str(target))
-    assert not target.exists() or os.listdir(target) == []
+    # a task that outlives its job may leave a hidden folder, never a file
+    files = lambda: [p for p in target.iterdir() if not (p.is_dir() and p.name.startswith("_staging"))]
+    assert not target.exists() or files() == []
     for folder in (str(target), f"file://{target}"):  # written again, files are replaced as wholes
         sinks.write_files(rows, folder)
-        assert {p.name: json.loads(p.read_text())["n"] for p in target.iterdir()} == {f"{i}.json": i for i in range(40)}
+        assert {p.name: json.loads(p.read_text())["n"] for p in files()} == {f"{i}.json": i for i in range(40)}
 
 
 def test_the_table_of_done_documents_is_not_shuffled(spark):
