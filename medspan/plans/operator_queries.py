@@ -120,7 +120,7 @@ def spans_in_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPANS_SQL = """
-WITH s AS (SELECT l_orderkey, l_partkey % 40 AS a, l_partkey % 40 + 1 + l_suppkey % 9 AS b FROM lineitem),
+WITH s AS (SELECT DISTINCT l_orderkey, l_partkey % 40 AS a, l_partkey % 40 + 1 + l_suppkey % 9 AS b FROM lineitem), -- equal spans are one: two windows may order ties differently
 m AS (SELECT *, max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY a, b DESC ROWS UNBOUNDED PRECEDING) AS island FROM m),
 u AS (SELECT l_orderkey, island, min(a) AS a, max(b) AS b FROM g GROUP BY l_orderkey, island)
