@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from medspan.functions.search import let
+
 VERSION = "1.0.0"
 
 # The wording, order and formats of the output contract.
@@ -58,20 +60,29 @@ def default(field: str) -> str:
 PATTERNS = {**{f: "|".join(codes) for f, codes in ENUMS.items()}, **FORMATS}
 
 
-def _table(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+def _fits(value: Column, pattern: str) -> Column:
+    return F.rlike(value, F.lit(f"^(?U:{pattern})\\z"))
+
+
+# The patterns, each with the fields that it is for: a pattern is a literal, which is compiled once and not for each row.
+_SHARED = {pattern: [f for f in PATTERNS if PATTERNS[f] == pattern] for pattern in dict.fromkeys(PATTERNS.values())}
 
 
 def check(field: Column, value: Column) -> Column:
     """The code of what is wrong with a field's value, or null. A null value is not a string."""
-    pattern = F.concat(F.lit("^(?U:"), F.try_element_at(_table(PATTERNS), field), F.lit(")\\z"))
     wrong = F.when(field.isin(*ENUMS), "not_in_enum").otherwise("bad_format")
     absent = F.when(field.isin(*FORBIDS_NOT_FOUND), "not_found_for_binary")
-    return F.when(value.isNull(), "not_string").when(value == NOT_FOUND, absent).when(~F.rlike(value, pattern), wrong)
+    known = F.when(F.lit(False), True)
+    for pattern, fields in _SHARED.items():
+        known = known.when(field.isin(*fields), _fits(value, pattern))
+    return F.when(value.isNull(), "not_string").when(value == NOT_FOUND, absent).when(~known, wrong)
 
 
 def check_value(field: str, value: Column) -> Column:
-    return check(F.lit(field), value)
+    """`check` for a field that is known beforehand."""
+    absent = F.lit("not_found_for_binary" if field in FORBIDS_NOT_FOUND else None).cast("string")
+    out = F.when(value.isNull(), "not_string").when(value == NOT_FOUND, absent)
+    return out.when(~_fits(value, PATTERNS[field]), "not_in_enum" if field in ENUMS else "bad_format") if field in PATTERNS else out
 
 
 def problem(field: str, value: str) -> str | None:
@@ -84,29 +95,40 @@ def problem(field: str, value: str) -> str | None:
 
 def nest(flat: Column) -> Column:
     """map(field, value) as the struct of nine groups, in the contract's order; missing fields get their defaults."""
-    value = lambda f: F.coalesce(F.try_element_at(flat, F.lit(f)), F.lit(default(f))).alias(f)
-    return F.struct(*[F.struct(*[value(f) for f in fields]).alias(group) for group, fields in GROUPS.items()])
+    value = lambda x, f: F.coalesce(F.try_element_at(x, F.lit(f)), F.lit(default(f))).alias(f)
+    return let(flat, lambda x: F.struct(*[F.struct(*[value(x, f) for f in fields]).alias(group) for group, fields in GROUPS.items()]))
 
 
 def flatten(nested: Column) -> Column:
     """The reverse of `nest`: map(field, value)."""
-    return F.map_from_arrays(F.array(*[F.lit(f) for f in FIELDS]), F.array(*[nested[GROUP_OF[f]][f] for f in FIELDS]))
+    return let(nested, lambda x: F.map_from_arrays(F.array(*[F.lit(f) for f in FIELDS]), F.array(*[x[GROUP_OF[f]][f] for f in FIELDS])))
 
 
 def violations(result: Column) -> Column:
-    """Everything wrong with map(group, map(field, value)), in the contract's order; empty for a valid result."""
-    names = F.map_keys(result)
+    """Everything wrong with map(group, map(field, value)), in the contract's order; empty for a valid result. The result, its groups
+    and their names are each computed once."""
     known = F.array(*[F.lit(g) for g in GROUPS])
-    out = [
-        F.transform(F.array_except(known, names), lambda g: F.concat(F.lit("missing_group:"), g)),
-        F.transform(F.array_except(names, known), lambda g: F.concat(F.lit("extra_group:"), g)),
-    ]
-    for group, fields in GROUPS.items():
-        values = F.try_element_at(result, F.lit(group))
-        wanted = F.array(*[F.lit(f) for f in fields])
-        tagged = lambda code, names: F.transform(names, lambda k: F.concat(F.lit(code), k))
-        bad = F.transform(F.array_intersect(wanted, F.map_keys(values)), lambda f: F.concat(check(f, F.try_element_at(values, f)), F.lit(":"), f))
-        wrong = F.concat(tagged("missing_key:", F.array_except(wanted, F.map_keys(values))), tagged("extra_key:", F.array_except(F.map_keys(values), wanted)), F.filter(bad, lambda c: c.isNotNull()))
-        no_group = F.array(F.lit(f"group_not_object:{group}"))
-        out.append(F.when(~F.map_contains_key(result, F.lit(group)), F.array().cast("array<string>")).when(values.isNull(), no_group).otherwise(wrong))
-    return F.when(result.isNull(), F.array(F.lit("root_not_object"))).otherwise(F.concat(*out))
+    tagged = lambda code, names: F.transform(names, lambda k: F.concat(F.lit(code), k))
+    none = F.array().cast("array<string>")
+
+    def of_group(values: Column, fields: tuple[str, ...]) -> Column:
+        wanted, names = F.array(*[F.lit(f) for f in fields]), F.map_keys(values)
+
+        def code(f: str) -> Column:
+            # a field that is not there has no value to be wrong
+            there = F.map_contains_key(values, F.lit(f))
+            return let(F.try_element_at(values, F.lit(f)), lambda v: F.when(v.isNotNull() | there, F.concat(check_value(f, v), F.lit(f":{f}"))))
+
+        codes = [code(f) for f in fields]
+        return F.concat(tagged("missing_key:", F.array_except(wanted, names)), tagged("extra_key:", F.array_except(names, wanted)), F.filter(F.array(*codes), lambda c: c.isNotNull()))
+
+    def of(whole: Column) -> Column:
+        names = F.map_keys(whole)
+        out = [tagged("missing_group:", F.array_except(known, names)), tagged("extra_group:", F.array_except(names, known))]
+        for group, fields in GROUPS.items():
+            no_group = F.array(F.lit(f"group_not_object:{group}"))
+            found = let(F.try_element_at(whole, F.lit(group)), lambda values: F.when(values.isNull(), no_group).otherwise(of_group(values, fields)))  # noqa: B023
+            out.append(F.when(F.map_contains_key(whole, F.lit(group)), found).otherwise(none))
+        return F.when(whole.isNull(), F.array(F.lit("root_not_object"))).otherwise(F.concat(*out))
+
+    return let(result, of)
