@@ -15,21 +15,32 @@ def _default_of(field: str):
 
 
 def compared(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """doc_id, group_name, field, pred, gold, ok for the documents that have gold; a missing gold value is the default."""
-    known = gold.select("doc_id").distinct().join(pred.select("doc_id").distinct(), "doc_id")
+    """doc_id, group_name, field, pred, gold, ok for the documents that have gold; a missing gold value is the default.
+
+    Only given values are joined and grouped; the fields that a document has on neither side are filled in its row, and equal values
+    are not put in comparable form."""
+    p = pred.select("doc_id", "field", F.col("value").alias("pred"), F.lit(True).alias("in_pred"))
+    g = gold.select("doc_id", "field", F.col("value").alias("gold"), F.lit(True).alias("in_gold"))
+    own = F.when(F.col("field").isin(*FIELDS), F.struct("field", "pred", "gold"))
+    given = p.join(g, ["doc_id", "field"], "full_outer").filter(F.col("doc_id").isNotNull())
+    known = given.groupBy("doc_id").agg(F.collect_list(own).alias("own"), F.bool_or("in_pred").alias("p"), F.bool_or("in_gold").alias("g")).filter("p and g")
+    absent = F.array_except(F.array(*[F.lit(f) for f in FIELDS]), F.transform("own", lambda x: x["field"]))
+    none = F.lit(None).cast("string")
+    every = F.concat("own", F.transform(absent, lambda f: F.struct(f.alias("field"), none.alias("pred"), none.alias("gold"))))
     group = F.create_map(*[F.lit(x) for pair in GROUP_OF.items() for x in pair])
-    every = known.select("doc_id", F.explode(F.array(*[F.lit(f) for f in FIELDS])).alias("field"))
-    p, g = pred.select("doc_id", "field", F.col("value").alias("pred")), gold.select("doc_id", "field", F.col("value").alias("gold"))
-    rows = every.join(p, ["doc_id", "field"], "left").join(g, ["doc_id", "field"], "left")
-    rows = rows.withColumns({"pred": F.coalesce("pred", _default_of("field")), "gold": F.coalesce("gold", _default_of("field"))})
-    return rows.select("doc_id", F.try_element_at(group, F.col("field")).alias("group_name"), "field", "pred", "gold", (comparable(F.col("pred")) == comparable(F.col("gold"))).alias("ok"))
+    rows = known.select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.field", "x.pred", "x.gold")
+    rows = rows.withColumn("default", F.when(F.col("pred").isNull() | F.col("gold").isNull(), _default_of("field")))
+    rows = rows.withColumns({"pred": F.coalesce("pred", "default"), "gold": F.coalesce("gold", "default")})
+    ok = F.when(F.col("pred") == F.col("gold"), True).otherwise(comparable(F.col("pred")) == comparable(F.col("gold")))
+    return rows.select("doc_id", F.try_element_at(group, F.col("field")).alias("group_name"), "field", "pred", "gold", ok.alias("ok"))
 
 
 def accuracy(rows: DataFrame) -> DataFrame:
-    """level (all, group, field), name, n, accuracy."""
-    sets = rows.groupingSets([["group_name"], ["field"], []], "group_name", "field").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("ok").cast("int")), 4).alias("accuracy"), F.grouping_id().alias("g"))
+    """level (all, group, field), name, n, accuracy. Rows are counted by group and field first, so that only these counts are laid out for the levels."""
+    counts = rows.groupBy("group_name", "field").agg(F.count(F.lit(1)).alias("rows"), F.count("ok").alias("told"), F.count_if("ok").alias("right"))
+    sets = counts.groupingSets([["group_name"], ["field"], []], "group_name", "field").agg(F.sum("rows").alias("n"), F.round(F.try_divide(F.sum("right").cast("double"), F.sum("told")), 4).alias("accuracy"), F.grouping_id().alias("g"))
     level = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "group").otherwise("field")
-    return sets.select(level.alias("level"), F.coalesce("field", "group_name", F.lit("all")).alias("name"), "n", "accuracy")
+    return sets.select(level.alias("level"), F.coalesce("field", "group_name", F.lit("all")).alias("name"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "accuracy")
 
 
 def mismatches(rows: DataFrame) -> DataFrame:
