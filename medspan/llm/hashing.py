@@ -13,7 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK = 1 << 20
+# a worker's working arrays take some hundred times as many bytes
+CHUNK = 1 << 18
 U64 = np.uint64
 
 

@@ -38,6 +38,8 @@ from medspan.llm.hashing import U64, distinct_sets, set_key
 
 MOST_LONG, LEAST_LONG, MOST_BROADCAST = 1 << 20, 64, 200_000
 NAME_BITS, BUCKETS = 44, 256
+# What a Python worker holds at once beside the batch that it is given: names to count, shingles to list, known sets, rows
+MOST_NAMES, MOST_LISTED, MOST_SEEN, SOME_ROWS = 1_000_000, 200_000, 100_000, 500
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -77,7 +79,7 @@ def _names(k: int, parts: int):
             for x in distinct_sets(_column(batch, "text"), k):
                 held.append(x >> U64(64 - NAME_BITS))
                 size += len(x)
-                if size >= 4_000_000:
+                if size >= MOST_NAMES:
                     yield flush(held)
                     held, size = [], 0
         if size:
@@ -134,9 +136,12 @@ def _lists(k: int, num: int, den: int, names: np.ndarray, entries: np.ndarray):
     document's shingles are, and whether the list is long. A place past its bits is cut short, which only loosens the bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).astype(np.int64)), *(pa.array(np.concatenate(c)) for c in (node, meta))], names=["token", "node", "meta"])
+
         seen: set[int] = set()
         for batch in batches:
-            token, node, meta = [], [], []
+            token, node, meta, size = [], [], [], 0
             for x in distinct_sets(_column(batch, "text"), k):
                 n = len(x)
                 if not n:
@@ -144,7 +149,7 @@ def _lists(k: int, num: int, den: int, names: np.ndarray, entries: np.ndarray):
                 key = set_key(x)
                 if key in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < MOST_SEEN:
                     seen.add(key)
                 p = n - -(-num * n // den) + 1
                 is_long = np.zeros(n, dtype=bool)
@@ -157,13 +162,17 @@ def _lists(k: int, num: int, den: int, names: np.ndarray, entries: np.ndarray):
                     inner = np.lexsort((x[is_long], entries[at[is_long]]))
                     first = np.concatenate([x[~is_long], x[is_long][inner]])[:p]
                 else:
-                    first = x[:p]
+                    first = x[:p].copy()
                 token.append(first)
                 node.append(np.full(p, key, dtype=np.int64))
                 place = np.minimum(np.arange(p, dtype=np.int64), PLACES)
                 meta.append((np.int64(n) << 32) | (place << 11) | (np.int64(1000 * many // n) << 1) | (np.arange(p) >= n - many))
+                size += p
+                if size >= MOST_LISTED:
+                    yield flush()
+                    token, node, meta, size = [], [], [], 0
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).astype(np.int64)), *(pa.array(np.concatenate(c)) for c in (node, meta))], names=["token", "node", "meta"])
+                yield flush()
 
     return run
 
@@ -209,13 +218,14 @@ def _of_two(token: np.ndarray, many: np.ndarray, repeat: np.ndarray) -> np.ndarr
     return (keep | many) & ~repeat
 
 
-def _overlap(k: int, num: int, den: int):
-    """Of (a, b, ta, tb): the pairs that reach the threshold, by binary search of the smaller set in the larger."""
+def _overlap(num: int, den: int):
+    """Of (a, b, sa, sb): the pairs that reach the threshold, by binary search of the smaller set in the larger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(distinct_sets(_column(batch, "ta"), k), distinct_sets(_column(batch, "tb"), k)):
+            for x, y in zip(_column(batch, "sa"), _column(batch, "sb")):
+                x, y = (np.frombuffer(s.as_buffer(), dtype=U64) for s in (x, y))
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 both = 0
                 if len(small):
@@ -244,51 +254,62 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, text for each node that a pair names."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = durable(nodes.join(classes, "node").select("node", F.col("rep").alias("doc_id")))
-    if wanted.count() <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
-    return durable(docs.join(wanted, "doc_id").select("node", "text").dropDuplicates(["node"]))
-
-
-def _counts(k: int):
-    """node, counts: how many of a set's shingles fall into each of BUCKETS buckets by hash."""
+def _sets(k: int):
+    """node, shingles, counts of each row (node, text) whose text has the set that the node names: its sorted shingles, and how many of
+    them fall into each of BUCKETS buckets by hash. Rows of one id may have other texts, which are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [np.bincount((x & U64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype("<u4") for x in distinct_sets(_column(batch, "text"), k)]
-            # planes of bytes: the upper ones are all zero, mostly, and shuffle compressed
-            yield pa.RecordBatch.from_arrays([_column(batch, "node"), pa.array([c.view(np.uint8).reshape(-1, 4).T.tobytes() for c in counts], pa.binary())], names=["node", "counts"])
+            for at in range(0, batch.num_rows, SOME_ROWS):
+                some = batch.slice(at, SOME_ROWS)
+                nodes, sets, counts = [], [], []
+                for node, x in zip(_column(some, "node").to_pylist(), distinct_sets(_column(some, "text"), k)):
+                    if set_key(x) == node:
+                        nodes.append(node)
+                        sets.append(x.tobytes())
+                        # planes of bytes: the upper ones are all zero, mostly, and shuffle compressed
+                        counts.append(np.bincount((x & U64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(counts, pa.binary())], names=["node", "shingles", "counts"])
 
     return run
 
 
+def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """node, shingles, counts for each node that a pair names."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = durable(nodes.join(classes, "node").select("node", F.col("rep").alias("doc_id")))
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+    found = docs.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets(k), "node long, shingles binary, counts binary")
+    return durable(found.dropDuplicates(["node"]))
+
+
 def _possible(num: int, den: int):
     """Of (a, b, ca, cb): the pairs whose overlap may reach the threshold, as it is at most the sum of the smaller counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = lambda c: np.frombuffer(b"".join(_column(batch, c).to_pylist()), dtype=np.uint8).reshape(-1, 4, BUCKETS).astype(np.int64)
-            whole = lambda c: sum(c[:, i] << (8 * i) for i in range(4))
-            x, y = (whole(counts(c)) for c in ("ca", "cb"))
-            most = np.minimum(x, y).sum(axis=1)
-            keep = den * most >= num * (x.sum(axis=1) + y.sum(axis=1) - most)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = []
+            for at in range(0, batch.num_rows, SOME_ROWS):
+                some = batch.slice(at, SOME_ROWS)
+                counts = lambda c: np.frombuffer(b"".join(_column(some, c).to_pylist()), dtype=np.uint8).reshape(-1, 4, BUCKETS)  # noqa: B023, E731
+                whole = lambda c: sum(c[:, i].astype(np.int64) << (8 * i) for i in range(4))
+                x, y = (whole(counts(c)) for c in ("ca", "cb"))
+                most = np.minimum(x, y).sum(axis=1)
+                keep.append(den * most >= num * (x.sum(axis=1) + y.sum(axis=1) - most))
+            yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep or [np.zeros(0, dtype=bool)])))
 
     return run
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs that link: first by bucket counts, then, of those that may, by the sets themselves."""
-    texts = _texts(docs, classes, pairs)
-    counts = durable(texts.mapInArrow(_counts(k), "node long, counts binary"))
+    sets = _sets_of(docs, classes, pairs, k)
     sided = lambda x, c, to: x.select(F.col("node").alias(to), F.col(c).alias(f"{c[0]}{to}"))
-    both = pairs.join(sided(counts, "counts", "a"), "a").join(sided(counts, "counts", "b"), "b").select("a", "b", "ca", "cb")
+    both = pairs.join(sided(sets, "counts", "a"), "a").join(sided(sets, "counts", "b"), "b").select("a", "b", "ca", "cb")
     some = durable(both.mapInArrow(_possible(num, den), "a long, b long"))
-    whole = some.join(sided(texts, "text", "a"), "a").join(sided(texts, "text", "b"), "b").select("a", "b", "ta", "tb")
-    return durable(whole.mapInArrow(_overlap(k, num, den), "a long, b long"))
+    whole = some.join(sided(sets, "shingles", "a"), "a").join(sided(sets, "shingles", "b"), "b").select("a", "b", "sa", "sb")
+    return durable(whole.mapInArrow(_overlap(num, den), "a long, b long"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
